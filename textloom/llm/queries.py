@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import keep, table
+from ..operators.components import shared_components
 from .overlap import overlap_classes, overlap_rows
+from .splits import chunk_document_key, document_key, group_splits, separated
 
 
 def _overlap(spark: SparkSession, folder: str):
@@ -20,5 +22,53 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.least("id_train", "id_eval").alias("source_index_a"), F.greatest("id_train", "id_eval").alias("source_index_b"))
 
 
-QUERIES = {"p1_found": p1_found}
+
+def p1_overlap_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Per evaluation split and source: records, overlapping records, copies and mean best coverage."""
+    prepared, members, pairs = _overlap(spark, folder)
+    eval_classes = pairs.groupBy("class_eval").agg(F.max("similarity").alias("best"), F.max(F.col("common") / F.col("n_eval")).alias("coverage"))
+    hit = members.where("not in_train").join(eval_classes, F.col("class") == F.col("class_eval")).select("id", "best", "coverage")
+    rows = prepared.where(~F.coalesce(F.col("split") == "train", F.lit(False))).select("source_index", "split", "source").join(hit, F.col("source_index") == F.col("id"), "left")
+    return rows.groupBy("split", "source").agg(F.count(F.lit(1)).alias("records"), F.count("id").alias("overlapping"), F.count_if(F.col("best") == 1).alias("copies"), F.avg("coverage").alias("mean_coverage"))
+
+
+def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of class representatives that overlap; p1_members has the rows of each class."""
+    prepared, _, pairs = _overlap(spark, folder)
+    names = prepared.select(F.col("source_index"), "document_id")
+    a = names.select(F.col("source_index").alias("class_train"), F.col("document_id").alias("document_id_train"))
+    b = names.select(F.col("source_index").alias("class_eval"), F.col("document_id").alias("document_id_eval"))
+    return pairs.join(a, "class_train").join(b, "class_eval").select("class_train", "class_eval", "document_id_train", "document_id_eval", "common", "similarity", (F.col("common") / F.col("n_eval")).alias("coverage_eval"))
+
+
+def p1_members(spark: SparkSession, folder: str) -> DataFrame:
+    _, members, _ = _overlap(spark, folder)
+    return members.select(F.col("id").alias("source_index"), "class", "n_words", "in_train")
+
+
+def _keys() -> list:
+    return [document_key(F.col("document_id")), chunk_document_key(F.col("chunk_id"))]
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    prepared = table(spark, folder, "prepared")
+    rows = shared_components(prepared, "source_index", _keys(), tag=False).join(prepared.select(F.col("source_index").alias("id"), "split"), "id")
+    return separated(rows).select(F.col("id").alias("source_index"))
+
+
+def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """The new split of each record."""
+    prepared = table(spark, folder, "prepared")
+    return group_splits(prepared, "source_index", _keys(), table(spark, folder, "split_targets"), tag=False).select(F.col("id").alias("source_index"), "entity", "new_split")
+
+
+def p4_split_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Records, documents and shares by new split, beside the target."""
+    new = keep(p4_splits(spark, folder), "splits")
+    n = new.count()
+    got = new.groupBy(F.col("new_split").alias("split")).agg(F.count(F.lit(1)).alias("records"), F.countDistinct("entity").alias("documents"))
+    return table(spark, folder, "split_targets").join(got, "split", "left").select("split", "target_share", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("documents", F.lit(0)).alias("documents"), (F.coalesce("records", F.lit(0)) / F.lit(max(n, 1))).alias("share"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_overlap_report, p1_pairs, p1_members, p4_found, p4_splits, p4_split_report)}
 ORACLE: dict[str, str] = {}
