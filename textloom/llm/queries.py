@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import keep, table
 from ..operators.components import shared_components
+from .leaks import find_leaks
 from .overlap import overlap_classes, overlap_rows
 from .splits import chunk_document_key, document_key, group_splits, separated
 
@@ -70,5 +71,22 @@ def p4_split_report(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "split_targets").join(got, "split", "left").select("split", "target_share", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("documents", F.lit(0)).alias("documents"), (F.coalesce("records", F.lit(0)) / F.lit(max(n, 1))).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_overlap_report, p1_pairs, p1_members, p4_found, p4_splits, p4_split_report)}
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    passages = [(r[0], r[1]) for r in table(spark, folder, "eval_passages").select("item_id", "text").collect()]  # the fixed held-out set
+    return find_leaks(table(spark, folder, "documents"), "doc_id", "text", passages)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("item_id", "doc_id")
+
+
+def p6_leak_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Per passage: documents that hold it, wholly (nine tenths) or in part."""
+    got = _leaks(spark, folder).withColumn("share", F.col("covered") / F.col("n_words"))
+    per = got.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("share") >= 0.9).alias("whole"), F.max("share").alias("best_share"))
+    items = table(spark, folder, "eval_passages").select("item_id", "subject", "split")
+    return items.join(per, "item_id", "left").select("item_id", "subject", "split", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("whole", F.lit(0)).alias("whole"), "best_share")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_overlap_report, p1_pairs, p1_members, p4_found, p4_splits, p4_split_report, p6_found, p6_leak_report)}
 ORACLE: dict[str, str] = {}
