@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import keep, table
 from ..operators.components import shared_components
+from .difficulty import reading_levels
 from .leaks import find_leaks
 from .overlap import overlap_classes, overlap_rows
 from .splits import chunk_document_key, document_key, group_splits, separated
@@ -88,5 +89,16 @@ def p6_leak_report(spark: SparkSession, folder: str) -> DataFrame:
     return items.join(per, "item_id", "left").select("item_id", "subject", "split", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("whole", F.lit(0)).alias("whole"), "best_share")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_overlap_report, p1_pairs, p1_members, p4_found, p4_splits, p4_split_report, p6_found, p6_leak_report)}
+def _language():
+    """The delivered language, or where that is missing whether common English words stand in the text."""
+    given = F.lower(F.substring("lang", 1, 2))
+    return F.when(given.isin("vi", "en"), given).when(F.col("text").rlike(r"(?i)\b(?:of|shall|must|will)\b"), "en").otherwise("vi")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    levels = reading_levels(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "reading_labels"), "reading_level", _language())
+    return levels.select(F.col("id").alias("doc_id"), "reading_level")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_overlap_report, p1_pairs, p1_members, p4_found, p4_splits, p4_split_report, p6_found, p6_leak_report, p8_found)}
 ORACLE: dict[str, str] = {}
