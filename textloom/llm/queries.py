@@ -10,6 +10,9 @@ from ..operators.components import shared_components
 from .difficulty import reading_levels
 from .leaks import find_leaks
 from .overlap import overlap_classes, overlap_rows
+from .mixing import mix_sources
+from .packing import packed, packing_report
+from .tokens import budget_tokens, spelled_alike, token_counts, written_out
 from .splits import chunk_document_key, document_key, group_splits, separated
 
 
@@ -95,10 +98,108 @@ def _language():
     return F.when(given.isin("vi", "en"), given).when(F.col("text").rlike(r"(?i)\b(?:of|shall|must|will)\b"), "en").otherwise("vi")
 
 
+def _latest_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """The version of each id in force: the last source_index."""
+    rows = table(spark, folder, "metadata").where(F.col("id").isNotNull())
+    return rows.groupBy("id").agg(F.max_by(F.struct("legal_type", "issuing_authority"), "source_index").alias("m")).select("id", "m.*")
+
+
+def _stats(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each document of document_token_stats, which has some twice."""
+    rows = table(spark, folder, "document_token_stats").where(F.col("document_id").isNotNull())
+    last = F.max(F.struct("tokens_with_eos", "tokens_without_eos", "num_chars", "legal_type", "issuing_authority"))
+    return rows.groupBy(F.col("document_id").cast("long").alias("id")).agg(last.alias("s")).select("id", "s.*")
+
+
+def _document_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    counts = token_counts(documents, "doc_id", "text").join(documents.select(F.col("doc_id").alias("id"), F.length("text").alias("n_chars"), _language().alias("part")), "id")
+    given = _stats(spark, folder).select("id", F.col("tokens_with_eos").alias("with_eos"), F.col("tokens_without_eos").alias("without_eos"), F.col("num_chars").alias("given_chars"))
+    return budget_tokens(counts, given)
+
+
+def p5_document_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of each text: under the public tokenizer, and as delivered where sound or estimated."""
+    rows = _document_tokens(spark, folder)
+    return rows.select(F.col("id").alias("doc_id"), "tokens", F.col("with_eos").alias("tokens_with_eos"), F.col("sound").alias("delivered"))
+
+
+def p5_token_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and tokens by source, language, legal type and issuing authority, and in all."""
+    documents = table(spark, folder, "documents")
+    labels = documents.select(F.col("doc_id").alias("id"), "source", "lang").join(_stats(spark, folder).select("id", F.col("legal_type").alias("t1"), F.col("issuing_authority").alias("a1")), "id", "left")
+    meta = _latest_metadata(spark, folder).select(F.expr("try_cast(id as long)").alias("id"), F.col("legal_type").alias("t2"), F.col("issuing_authority").alias("a2"))
+    labels = labels.join(meta.where("id is not null"), "id", "left")
+    first = lambda a, b: F.coalesce(F.when(F.trim(a) != "", F.col(a)), F.col(b))
+    labels = labels.select("id", F.regexp_replace(spelled_alike(F.col("source")), " ", "-").alias("source"), F.substring(spelled_alike(F.col("lang")), 1, 2).alias("lang"), spelled_alike(first("t1", "t2")).alias("legal_type"), spelled_alike(first("a1", "a2")).alias("issuing_authority"))
+    labels = keep(labels, "budget-labels")
+    types = written_out(labels, "legal_type")
+    labels = labels.join(types, F.col("legal_type") == F.col("short"), "left").withColumn("legal_type", F.coalesce("long", "legal_type")).drop("short", "long")
+    rows = _document_tokens(spark, folder).join(labels, "id")
+    slices_ = ["source", "lang", "legal_type", "issuing_authority"]
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias("slice"), F.coalesce(c, F.lit("unknown")).alias("value")) for c in slices_], F.struct(F.lit("all").alias("slice"), F.lit("all").alias("value"))))
+    return rows.select(named.alias("k"), "tokens", "with_eos", "sound").groupBy("k.slice", "k.value").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"), F.sum("with_eos").alias("tokens_with_eos"), F.count_if("sound").alias("delivered"))
+
+
+def _source_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Each different text of documents once, under its least id, with its source and its tokens."""
+    documents = table(spark, folder, "documents").where(F.col("text").rlike(r"\S"))
+    once = documents.groupBy(F.unhex(F.sha2("text", 256)).alias("same")).agg(F.min(F.struct(F.col("doc_id"), F.col("source"))).alias("d"), F.count(F.lit(1)).alias("copies"))
+    once = keep(once.select(F.col("d.doc_id").alias("id"), F.regexp_replace(spelled_alike(F.col("d.source")), " ", "-").alias("source")), "mix-texts")
+    counts = token_counts(documents, "doc_id", "text")
+    return once.join(counts, "id")
+
+
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each text is used, of those used at all."""
+    return mix_sources(_source_texts(spark, folder), table(spark, folder, "mix_targets"))[0].select(F.col("id").alias("doc_id"), "source", "tokens", "copies")
+
+
+def p7_mixture_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of each target source: wanted and reached."""
+    return mix_sources(_source_texts(spark, folder), table(spark, folder, "mix_targets"))[1]
+
+
+def _train_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, length) of the train records: tokens_with_eos, or an estimate from the text where that is missing or wrong."""
+    train = table(spark, folder, "prepared").where("split = 'train'")
+    lang = F.when(F.col("text").rlike(r"(?i)\b(?:of|shall|must|will)\b"), "en").otherwise("vi")
+    counts = token_counts(train, "source_index", "text").join(train.select(F.col("source_index").alias("id"), F.length("text").alias("n_chars"), lang.alias("part")), "id")
+    given = train.select(F.col("source_index").alias("id"), F.col("tokens_with_eos").alias("with_eos"), F.col("tokens_without_eos").alias("without_eos"), F.col("num_chars").alias("given_chars"))
+    return budget_tokens(counts, given).select("id", F.col("with_eos").alias("length"))
+
+
+def _capacities(spark: SparkSession, folder: str) -> list[int]:
+    plans = table(spark, folder, "context_plans").select((F.col("max_seq_length") - F.col("reserved_tokens")).alias("c")).distinct()
+    return sorted(r["c"] for r in plans.where("c > 0").collect())  # a few plans
+
+
+def p3_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """The sequence each train record goes to, for each capacity; long records in pieces."""
+    lengths = keep(_train_lengths(spark, folder), "pack-lengths")
+    parts = [packed(lengths, c) for c in _capacities(spark, folder)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("capacity", "sequence", F.col("id").alias("source_index"), "piece", "length")
+
+
+def p3_packing_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequences and the share of unused room, for each capacity."""
+    return packing_report(p3_sequences(spark, folder))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     levels = reading_levels(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "reading_labels"), "reading_level", _language())
     return levels.select(F.col("id").alias("doc_id"), "reading_level")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_overlap_report, p1_pairs, p1_members, p4_found, p4_splits, p4_split_report, p6_found, p6_leak_report, p8_found)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_overlap_report, p1_pairs, p1_members, p3_sequences, p3_packing_report, p4_found, p4_splits, p4_split_report,
+        p5_document_tokens, p5_token_budget, p6_found, p6_leak_report, p7_mixture, p7_mixture_report, p8_found,
+    )
+}
 ORACLE: dict[str, str] = {}
