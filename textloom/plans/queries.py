@@ -1,15 +1,276 @@
-"""The registered queries of the core, each over its whole tables, and their SQL."""
+"""The registered queries of the core, each over its whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions import tokens as K
+from ..functions.sequences import chunked_lcs_f1_udf
+from ..operators import checks as C
+from ..operators import evaluation as E
+from ..operators import selection as S
+from ..operators import stats as A
 from ..operators.fields import split_field
-from ..sources.tables import table
+from ..sources.tables import keep, table
+from ..streaming import metrics as M
+from .oracles import ORACLE
 
+LIMIT = 500  # of first_selected, an operator that stops at a number of rows
+CONTEXT, STRIDE = 512, 128
 
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+
+def _stats(spark: SparkSession, folder: str) -> DataFrame:
+    return A.document_stats(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def document_stats(spark, folder):
+    return _stats(spark, folder)
+
+
+def corpus_summary(spark, folder):
+    return A.numeric_summaries(_stats(spark, folder))
+
+
+def _grouped(spark, folder, fields):
+    labels = table(spark, folder, "documents").select(F.col("doc_id").alias("source_index"), *fields)
+    return A.group_summaries(_stats(spark, folder).join(labels, "source_index"), fields)
+
+
+def group_summary_lang(spark, folder):
+    return _grouped(spark, folder, ["lang"])
+
+
+def group_summary_source(spark, folder):
+    return _grouped(spark, folder, ["source"])
+
+
+def group_summary_sets(spark, folder):
+    return _grouped(spark, folder, ["lang", "source"])
+
+
+def chunk_plan(spark, folder):
+    return A.chunk_plans(_stats(spark, folder))
+
+
+def recommended_plan(spark, folder):
+    return A.recommended_plan(chunk_plan(spark, folder))
+
+
+def longest_documents(spark, folder):
+    return A.longest(_stats(spark, folder)).select("document_id", "num_chars", "tokens_with_eos")
+
+
+METADATA = ["document_number", "title", "url", "legal_type", "legal_sectors", "issuing_authority", "issuance_date", "signers"]
+
+
+def metadata_join_last_wins(spark, folder):
+    ids = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("document_id"))
+    return A.attach_latest(ids, table(spark, folder, "metadata"), "id", METADATA)
+
+
+def metadata_group_summary(spark, folder):
+    rows = A.attach_latest(_stats(spark, folder), table(spark, folder, "metadata"), "id", METADATA)
+    return A.group_summaries(rows, ["legal_type", "legal_sectors", "issuing_authority"])
+
+
+def _reasons(spark, folder):
+    stats = keep(_stats(spark, folder), "stats")
+    return S.selection_reasons(stats, S.p95_threshold(stats), S.MAX_SEQ - S.RESERVED)
+
+
+def selection_reasons(spark, folder):
+    return _reasons(spark, folder).select("document_id", "tokens_with_eos", "reason")
+
+
+def selection_counters(spark, folder):
+    return S.selection_counters(_reasons(spark, folder))
+
+
+def selection_limit_n(spark, folder):
+    return S.selection_counters(S.first_selected(_reasons(spark, folder), LIMIT))
+
+
+def seeded_split(spark, folder):
+    return S.seeded_split(table(spark, folder, "documents").select("doc_id"), "doc_id")
+
+
+def seeded_split_summary(spark, folder):
+    rows = _reasons(spark, folder).where("reason = 'selected'").select("document_id", "tokens_with_eos")
+    return S.split_summary(S.seeded_split(rows, "document_id"))
+
+
+def split_summary(spark, folder):
+    return S.split_summary(table(spark, folder, "prepared"))
+
+
+def split_leakage(spark, folder):
+    return S.split_leakage(table(spark, folder, "prepared"))
+
+
+def shared_train_validation(spark, folder):
+    return S.shared_ids(table(spark, folder, "prepared"), "train", "validation")
+
+
+def structure_counts(spark, folder):
+    text = T.clean_html(F.col("text"))
+    rows = table(spark, folder, "prepared").select("source_index", text.alias("clean"))
+    return rows.select("source_index", T.article_count(F.col("clean")).alias("article_count"), T.chapter_count(F.col("clean")).alias("chapter_count"), T.section_count(F.col("clean")).alias("section_count"))
+
+
+def _cleaned(spark, folder, tree):
+    return table(spark, folder, "documents").select("doc_id", T.looks_like_html(F.col("text")).alias("is_html"), T.clean_html(F.col("text"), "html", tree).alias("clean"))
+
+
+def html_clean_regex(spark, folder):
+    return _cleaned(spark, folder, False)
+
+
+def html_clean_tree(spark, folder):
+    return _cleaned(spark, folder, True)
+
+
+def _pairs(spark, folder):
+    """Each text as the reference of the next one."""
+    texts = table(spark, folder, "documents").where("text is not null").select("doc_id", "text")
+    nxt = texts.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("prediction"))
+    return texts.withColumnRenamed("text", "reference").join(nxt, "doc_id")
+
+
+SCORES = ["rouge1_f1", "rouge2_f1", "article_heading_f1", "distinct2", "repeated_4gram_ratio"]
+
+
+def continuation_scores(spark, folder):
+    rows = E.continuation_metrics(_pairs(spark, folder), "reference", "prediction")
+    return rows.select("doc_id", *[F.round(c, 6).alias(c) for c in SCORES])
+
+
+def generation_means(spark, folder):
+    rows = E.continuation_metrics(_pairs(spark, folder), "reference", "prediction").withColumn("length_ratio", F.length("prediction") / F.greatest(F.lit(1), F.length("reference")))
+    return E.generation_means(rows, [], SCORES, ["length_ratio"]).select("num_generation_documents", *[F.round(f"{c}_percent", 6).alias(f"{c}_percent") for c in SCORES], F.round("average_length_ratio", 6).alias("average_length_ratio"))
+
+
+def rouge_l_chunked(spark, folder):
+    rows = _pairs(spark, folder).select("doc_id", T.words(T.metric_text(F.col("reference"))).alias("r"), T.words(T.metric_text(F.col("prediction"))).alias("p"))
+    return rows.select("doc_id", F.round(chunked_lcs_f1_udf()("r", "p"), 6).alias("rougeL_chunked_f1"))
+
+
+def corpus_ngram_overlaps(spark, folder):
+    return E.corpus_overlaps(_pairs(spark, folder), "reference", "prediction")
+
+
+def corpus_bleu(spark, folder):
+    return E.corpus_bleu(corpus_ngram_overlaps(spark, folder)).select(F.round("bleu", 6).alias("bleu"))
+
+
+def corpus_chrf(spark, folder):
+    return E.corpus_chrf(corpus_ngram_overlaps(spark, folder)).select(F.round("chrf_plus_plus", 6).alias("chrf_plus_plus"))
+
+
+def score_windows(spark, folder):
+    rows = _stats(spark, folder).select("document_id", F.col("tokens_with_eos").cast("int").alias("t"))
+    return rows.select("document_id", F.explode(K.score_windows(F.col("t"), CONTEXT, STRIDE)).alias("w")).select("document_id", "w.*")
+
+
+def _scored(spark, folder):
+    rows = table(spark, folder, "prepared").select("source_index", "split", T.words(T.metric_text(F.col("text"))).alias("tokens"))
+    rows = keep(rows, "lm-words")
+    return E.bigram_scores(rows.where("split = 'train'"), rows.where("split in ('validation', 'test')"), "source_index", "tokens")
+
+
+def lm_metrics(spark, folder):
+    rows = E.token_metrics(_scored(spark, folder), ["model"])
+    return rows.select("model", "num_documents", "full_document_scored_tokens", *[F.round(c, 6).alias(c) for c in rows.columns[3:]])
+
+
+def model_comparison(spark, folder):
+    rows = keep(E.token_metrics(_scored(spark, folder), ["model"]), "lm-metrics")
+    of = lambda m: rows.where(F.col("model") == m).drop("model")
+    out = E.compare_models(of("words"), of("pairs"))
+    return out.select("metric", *[F.round(c, 6).alias(c) for c in ("base", "finetuned", "delta_finetuned_minus_base", "improvement")], "higher_is_better")
+
+
+def progressive_loss(spark, folder):
+    rows = _scored(spark, folder).where("model = 'pairs'").select("source_index", "nll_sum", "scored")
+    return E.progressive(keep(rows, "lm-pairs"), "source_index").select("source_index", F.round("nll_so_far", 6).alias("nll_so_far"), "tokens_so_far")
+
+
+def pad_and_mask(spark, folder):
+    lengths = F.transform(T.words(F.lower("text")), lambda w: F.length(w))
+    rows = table(spark, folder, "eval_passages").select(F.col("item_id").alias("id"), "text").unionByName(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"))
+    rows = rows.where("text is not null").select("id", K.append_eos(lengths, F.lit(0)).alias("ids"))
+    ids, mask, labels = K.padded(F.col("ids"), 8, F.size("ids"), 0)
+    return rows.select("id", F.array_join(ids, " ").alias("input_ids"), F.array_join(mask, " ").alias("attention_mask"), F.array_join(labels, " ").alias("labels"))
+
+
+def training_step_plan(spark, folder):
+    rows = table(spark, folder, "prepared").agg(F.count_if(F.col("split") == "train").alias("train_rows"))
+    return E.training_steps(rows, batch=2, accumulation=8, epochs=1.5, warmup=0.03, eval_steps=100, logging_steps=10)
+
+
+def evaluation_candidates(spark, folder):
+    return S.evaluation_candidates(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def evaluation_selection(spark, folder):
+    return S.evaluation_candidates(table(spark, folder, "documents"), "doc_id", "text", limit=200).select("source_index", "reason")
+
+
+def evaluation_skips(spark, folder):
+    return evaluation_candidates(spark, folder).groupBy("reason").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def tokenized_stats(spark, folder):
+    rows = table(spark, folder, "prepared")
+    per = S.split_summary(rows)
+    return per.select("split", "rows", "documents", "tokens", "max_tokens").where("split in ('train', 'validation')")
+
+
+def data_checks(spark, folder):
+    prepared, documents = table(spark, folder, "prepared"), table(spark, folder, "documents")
+    stats, given = _stats(spark, folder), table(spark, folder, "document_token_stats")
+    ids = given.select("document_id").where("document_id is not null").distinct()
+    rules = {
+        "empty_text": ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)), "over_context": F.col("tokens_with_eos") > S.MAX_SEQ - S.RESERVED, "no_end_mark": F.col("tokens_with_eos") != F.col("tokens_without_eos") + 1,
+        "wrong_length": F.length("text") != F.col("num_chars"),
+    }
+    return C.together(
+        C.count_where(prepared, rules), C.count_rows("repeated_source_index", C.repeated(prepared, "source_index")), C.count_rows("repeated_stats", C.repeated(given, "document_id")),
+        C.count_rows("documents_without_stats", documents.select(F.col("doc_id").cast("string").alias("document_id")).join(ids, "document_id", "left_anti")),
+        C.count_rows("stats_without_document", ids.join(documents.select(F.col("doc_id").cast("string").alias("document_id")), "document_id", "left_anti")),
+        C.count_rows("outdated_stats", stats.select("document_id", F.col("article_count").alias("a")).join(given, "document_id").where("a <> article_count")),
+        C.count_rows("leaked_train_validation", S.shared_ids(prepared, "train", "validation")),
+    )
+
+
+def dataset_fingerprint(spark, folder):
+    documents = table(spark, folder, "documents")
+    return S.fingerprint(documents.select("doc_id", "text", "lang", "source"), ["doc_id", "text", "lang", "source"])
+
+
+def _event_stream(spark, folder):
+    path = f"{folder}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).parquet(path if _is_folder(spark, path) else f"{folder}/event[s].parquet")
+
+
+def _is_folder(spark, path):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+
+
+def streaming_metrics(spark, folder):
+    sums = M.running_sums(_event_stream(spark, folder).withColumn("scored", F.lit(1)), ["event_type"], "value", "scored")
+    return M.loss(M.drain(sums)).select("event_type", "records", F.round("nll_sum", 4).alias("nll_sum"), "scored", F.round("token_nll", 6).alias("token_nll"))
+
+
+def streaming_windows(spark, folder):
+    sums = M.windowed(_event_stream(spark, folder).withColumn("scored", F.lit(1)), "ts", "1 day", "1 day", "value", "scored")
+    return M.drain(sums).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "records", F.round("nll_sum", 4).alias("nll_sum"))
+
+
+def p2_found(spark, folder):
     metadata = table(spark, folder, "metadata")
     once = metadata.groupBy("source_index").agg(F.max("legal_sectors").alias("legal_sectors"), F.max("signers").alias("signers"))
     terms = [r[0] for r in table(spark, folder, "sector_terms").select("sector_name").collect()]  # a fixed list of names
@@ -18,5 +279,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return sectors.unionByName(signers).select("source_index", "field_name", "pos", "item_value")
 
 
-QUERIES = {"p2_found": p2_found}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        document_stats, corpus_summary, group_summary_lang, group_summary_source, group_summary_sets, chunk_plan, recommended_plan, longest_documents, metadata_join_last_wins, metadata_group_summary,
+        selection_reasons, selection_counters, selection_limit_n, seeded_split, seeded_split_summary, split_summary, split_leakage, shared_train_validation, structure_counts, html_clean_regex, html_clean_tree,
+        continuation_scores, generation_means, rouge_l_chunked, corpus_ngram_overlaps, corpus_bleu, corpus_chrf, score_windows, lm_metrics, model_comparison, progressive_loss, pad_and_mask, training_step_plan,
+        evaluation_candidates, evaluation_selection, evaluation_skips, tokenized_stats, data_checks, dataset_fingerprint, streaming_metrics, streaming_windows, p2_found,
+    )
+}
+__all__ = ["ORACLE", "QUERIES"]

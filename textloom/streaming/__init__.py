@@ -1,0 +1 @@
+"""Structured Streaming: metrics that add up over batches of scored records."""
