@@ -137,7 +137,7 @@ lm AS (SELECT model, count(*) AS num_documents, sum(scored)::BIGINT AS full_docu
 LM_METRICS = ["full_document_nll", "full_document_perplexity", "full_document_top1_accuracy_percent", "full_document_top5_accuracy_percent"]
 
 CANDIDATES = rf"""cleaned AS (SELECT doc_id AS source_index, coalesce({_spaced("replace(replace(replace(nfc_normalize(text), chr(160), ' '), chr(13) || chr(10), chr(10)), chr(13), chr(10))", "[ \t]+")}, '') AS c FROM documents),
-placed AS (SELECT *, regexp_extract(c, '(?is)^(.*?)(?:^|[^\p{{L}}\p{{N}}_])Điều\s+2\s*(?:[.:]|)', 0) AS hit, regexp_extract(c, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(Điều\s+2\s*(?:[.:]|))', 1) AS named FROM cleaned),
+placed AS (SELECT *, regexp_extract(c, '(?is)^(.*?)(?:^|[^\p{{L}}\p{{N}}_])Điều\s+2\s*(?:[.:]|\b)', 0) AS hit, regexp_extract(c, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(Điều\s+2\s*(?:[.:]|\b))', 1) AS named FROM cleaned),
 cut AS (SELECT *, CASE WHEN hit = '' THEN 0 ELSE length(hit) - length(named) + 1 END AS spot FROM placed),
 counted AS (SELECT source_index, c, spot, len({_words("lower(c)")}) AS n, len({_words("lower(left(c, spot - 1))")}) AS head, len({_words("lower(substr(c, spot))")}) AS tail FROM cut),
 sized AS (SELECT *, CASE WHEN spot > 0 THEN head WHEN n > 1152 THEN 1024 END AS prefix, CASE WHEN spot > 0 THEN tail ELSE n - 1024 END AS rest FROM counted),
@@ -153,7 +153,7 @@ round(coalesce(quantile_cont({m}, 0.75), 0), 6) AS p75, round(coalesce(quantile_
 
 
 LEAKS = " UNION ALL ".join(f"SELECT '{a}' AS left_split, '{b}' AS right_split, (SELECT count(*) FROM (SELECT document_id FROM prepared WHERE split = '{a}' AND document_id IS NOT NULL INTERSECT SELECT document_id FROM prepared WHERE split = '{b}')) AS shared" for a, b in (("train", "validation"), ("train", "test"), ("validation", "test")))
-CLEAN_HTML = f"""SELECT doc_id, regexp_matches(text, '(?is)<!doctype\s+html\b|</?(?:html|head|body|p|div|section|article|header|footer|ul|ol|li|h[1-6]|table|thead|tbody|tfoot|tr|td|th|br|span|script|style)\b[^>]*>') AS is_html,
+CLEAN_HTML = rf"""SELECT doc_id, regexp_matches(text, '(?is)<!doctype\s+html\b|</?(?:html|head|body|p|div|section|article|header|footer|ul|ol|li|h[1-6]|table|thead|tbody|tfoot|tr|td|th|br|span|script|style)\b[^>]*>') AS is_html,
 coalesce({_normal("text", html=True)}, '') AS clean FROM documents"""
 SPLIT_DOCUMENTS = _split("(SELECT doc_id FROM documents)", "doc_id")
 
@@ -202,7 +202,7 @@ t AS (SELECT *, ceil(steps_per_epoch * 1.5)::BIGINT AS total_training_steps FROM
     "evaluation_selection": f"WITH {CANDIDATES}, o AS (SELECT *, row_number() OVER (ORDER BY md5('3407:' || source_index::VARCHAR), source_index) AS rk FROM candidates) SELECT source_index, reason FROM (SELECT *, coalesce(sum((reason = 'selected')::INT) OVER (ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM o) WHERE k < 200",
     "evaluation_skips": f"WITH {CANDIDATES} SELECT reason, count(*) AS documents FROM candidates GROUP BY reason",
     "tokenized_stats": "SELECT split, count(*) AS rows, count(DISTINCT document_id) AS documents, coalesce(sum(tokens_with_eos), 0)::BIGINT AS tokens, coalesce(max(tokens_with_eos), 0) AS max_tokens FROM prepared WHERE split IN ('train', 'validation') GROUP BY split",
-    "data_checks": f"""WITH {STATS}, ids AS (SELECT DISTINCT document_id FROM document_token_stats WHERE document_id IS NOT NULL)
+    "data_checks": rf"""WITH {STATS}, ids AS (SELECT DISTINCT document_id FROM document_token_stats WHERE document_id IS NOT NULL)
 SELECT 'empty_text' AS check_name, count(*) FILTER (NOT coalesce(regexp_matches(text, '\S'), false)) AS violations FROM prepared UNION ALL SELECT 'over_context', count(*) FILTER (tokens_with_eos > 19984) FROM prepared
 UNION ALL SELECT 'no_end_mark', count(*) FILTER (tokens_with_eos <> tokens_without_eos + 1) FROM prepared UNION ALL SELECT 'wrong_length', count(*) FILTER (length(text) <> num_chars) FROM prepared
 UNION ALL SELECT 'repeated_source_index', count(*) FROM (SELECT source_index FROM prepared GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'repeated_stats', count(*) FROM (SELECT document_id FROM document_token_stats GROUP BY 1 HAVING count(*) > 1)
