@@ -67,9 +67,9 @@ def _edges(nodes: int, min_words: int):
                 words = (code & 0xFFFFFFFF).astype(np.uint32)
                 picked = np.flatnonzero(enough)
                 yield pa.RecordBatch.from_arrays([
-                    ids.take(pa.array(a + picked)), pa.array(n[picked], pa.int32()),
+                    ids.take(pa.array(a + picked)), batch.column(2).take(pa.array(a + picked)),
                     pa.array([words[cut[i] : cut[i + 1]].tobytes() for i in picked], pa.binary()), pa.array([count[cut[i] : cut[i + 1]].tobytes() for i in picked], pa.binary()),
-                ], ["id", "n_words", "words", "counts"])
+                ], ["id", "scale", "words", "counts"])
 
     return build
 
@@ -169,15 +169,14 @@ def reading_levels(documents: DataFrame, id_column: str, text_column: str, grade
     """
     spark = documents.sparkSession
     part = F.coalesce(scale.cast("string"), F.lit("")) if scale is not None else F.lit("")
-    rows = documents.where(F.col(text_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    parts = documents.select(F.col(id_column).cast("long").alias("id"), part.alias("part"))
-    names = sorted(r[0] for r in parts.select("part").distinct().limit(SCALES + 1).collect())
+    names = sorted(r[0] for r in documents.select(part.alias("part")).distinct().limit(SCALES + 1).collect())
     if len(names) > SCALES:
         raise ValueError(f"more than {SCALES} scales")
-    number = F.coalesce(F.array_position(F.array(*[F.lit(n) for n in names]), F.col("part")) - 1, F.lit(0)).cast("int") if names else F.lit(0)
+    number = F.coalesce(F.array_position(F.array(*[F.lit(n) for n in names]), F.col("part")) - 1, F.lit(0)).cast("int") if names else F.lit(0).cast("int")
     marks = grades.where(F.col(grade_column).between(1, 5)).groupBy(F.col(id_column).cast("long").alias("id")).agg(F.avg(grade_column).alias("grade"))
-    edges = rows.mapInArrow(_edges(nodes, min_words), "id long, n_words int, words binary, counts binary")
-    graph = keep(edges.join(parts.select("id", number.alias("scale")), "id").join(marks, "id", "left").select("id", "words", "counts", "grade", "scale"), "reading-graph")
+    rows = documents.where(F.col(text_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), part.alias("part")).select("id", "text", number.alias("scale"))
+    edges = rows.mapInArrow(_edges(nodes, min_words), "id long, scale int, words binary, counts binary")
+    graph = keep(edges.join(marks, "id", "left").select("id", "words", "counts", "grade", "scale"), "reading-graph")
     mean = graph.agg(F.avg("grade")).first()[0]
     if mean is None:
         return spark.createDataFrame([], "id long, score double, reading_level int")

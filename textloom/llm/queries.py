@@ -202,4 +202,10 @@ QUERIES = {
         p5_document_tokens, p5_token_budget, p6_found, p6_leak_report, p7_mixture, p7_mixture_report, p8_found,
     )
 }
-ORACLE: dict[str, str] = {}
+_KEY = r"""CASE WHEN regexp_matches({x}, {p}) THEN concat_ws('-', regexp_extract({x}, {p}, 1), regexp_extract({x}, {p}, 2), regexp_extract({x}, {p}, 3)) || regexp_extract({x}, {p}, 4) END"""
+_FORM = r"'(?:^|[^a-z0-9])([a-z]{2})[^a-z0-9]*((?:19|20)[0-9]{2})[^a-z0-9]*0*([0-9]+)([a-z]?)(?:[^a-z0-9]|$)'"
+_KEYED = f"keyed AS (SELECT source_index, split, coalesce({_KEY.format(x='lower(document_id)', p=_FORM)}, {_KEY.format(x='lower(chunk_id)', p=_FORM)}, source_index::VARCHAR) AS k FROM prepared)"
+#: Where SQL can say it.
+ORACLE: dict[str, str] = {
+    "p4_found": f"WITH {_KEYED} SELECT source_index FROM keyed WHERE k IN (SELECT k FROM keyed GROUP BY k HAVING count(DISTINCT coalesce(split, '')) > 1)",
+}
