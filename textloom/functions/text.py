@@ -147,6 +147,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def count_words(text: Column) -> Column:
+    return F.regexp_count(F.lower(text), F.lit(r"[\p{L}\p{N}_]+")).cast("long")
+
+
 def blank_split(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
 

@@ -102,7 +102,7 @@ def continuation(text: Column, max_total: int = 20_000, max_generation: int = 10
     Before the first naming of article 2, or after ``fallback`` tokens where there is none.
     """
     at = T.article_two_at(text)
-    count = lambda t: F.size(T.words(F.lower(t)))
+    count = T.count_words
     head, tail = count(F.substring(text, F.lit(1), at - 1)), count(F.substring(text, at, F.length(text)))
     n = count(text)
     prefix = F.when(at > 0, head).when(n > fallback + minimum, F.lit(fallback))
@@ -118,7 +118,7 @@ def evaluation_candidates(df: DataFrame, id_column: str, text: str, limit: int =
     """
     clean = F.coalesce(T.normalize_document(F.col(text)), F.lit(""))
     rows = df.select(F.col(id_column).alias("source_index"), clean.alias("clean"))
-    rows = rows.select("source_index", F.size(T.words(F.lower("clean"))).cast("long").alias("tokens"), (F.col("clean") == "").alias("blank"), continuation(F.col("clean"), **cut).alias("c"))
+    rows = rows.select("source_index", T.count_words(F.col("clean")).alias("tokens"), (F.col("clean") == "").alias("blank"), continuation(F.col("clean"), **cut).alias("c"))
     reason = F.when(F.col("blank"), "empty").when(K.count_with_eos(F.col("tokens")) < 2, "short").when(F.col("c").isNull(), "no_continuation").otherwise("selected")
     rows = rows.select("source_index", reason.alias("reason"), "tokens", "c.split_method", "c.prefix_tokens", "c.reference_tokens")
     if not limit:

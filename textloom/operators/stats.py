@@ -20,7 +20,7 @@ def document_stats(content: DataFrame, id_column: str, text: str, content_format
     NULL and empty texts count as empty: no characters or lines, and one token, the end mark.
     """
     clean = content.select(F.col(id_column).alias("source_index"), T.clean_html(F.col(text), content_format, tree=False).alias("clean"))
-    counted = clean.select("source_index", "clean", F.size(T.words(F.lower("clean"))).cast("long").alias("n"))
+    counted = clean.select("source_index", "clean", T.count_words(F.col("clean")).alias("n"))
     return counted.select(
         F.col("source_index").cast("string").alias("document_id"), "source_index", F.length("clean").cast("long").alias("num_chars"), T.count_lines(F.col("clean")).alias("num_lines"),
         F.col("n").alias("tokens_without_eos"), K.count_with_eos(F.col("n")).alias("tokens_with_eos"), T.article_count(F.col("clean")).alias("article_count"),

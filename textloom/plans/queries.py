@@ -13,7 +13,7 @@ from ..operators import evaluation as E
 from ..operators import selection as S
 from ..operators import stats as A
 from ..operators.fields import split_field
-from ..sources.tables import keep, table
+from ..sources.tables import keep, table, texts
 from ..streaming import metrics as M
 from .oracles import ORACLE
 
@@ -22,7 +22,7 @@ CONTEXT, STRIDE = 512, 128
 
 
 def _stats(spark: SparkSession, folder: str) -> DataFrame:
-    return A.document_stats(table(spark, folder, "documents"), "doc_id", "text")
+    return A.document_stats(texts(spark, folder, "documents"), "doc_id", "text")
 
 
 def document_stats(spark, folder):
@@ -115,12 +115,12 @@ def shared_train_validation(spark, folder):
 
 def structure_counts(spark, folder):
     text = T.clean_html(F.col("text"))
-    rows = table(spark, folder, "prepared").select("source_index", text.alias("clean"))
+    rows = texts(spark, folder, "prepared").select("source_index", text.alias("clean"))
     return rows.select("source_index", T.article_count(F.col("clean")).alias("article_count"), T.chapter_count(F.col("clean")).alias("chapter_count"), T.section_count(F.col("clean")).alias("section_count"))
 
 
 def _cleaned(spark, folder, tree):
-    return table(spark, folder, "documents").select("doc_id", T.looks_like_html(F.col("text")).alias("is_html"), T.clean_html(F.col("text"), "html", tree).alias("clean"))
+    return texts(spark, folder, "documents").select("doc_id", T.looks_like_html(F.col("text")).alias("is_html"), T.clean_html(F.col("text"), "html", tree).alias("clean"))
 
 
 def html_clean_regex(spark, folder):
@@ -132,10 +132,14 @@ def html_clean_tree(spark, folder):
 
 
 def _pairs(spark, folder):
-    """Each text as the reference of the next one."""
-    texts = table(spark, folder, "documents").where("text is not null").select("doc_id", "text")
-    nxt = texts.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("prediction"))
-    return texts.withColumnRenamed("text", "reference").join(nxt, "doc_id")
+    """Each text as the reference of the next one.
+
+    Scoring takes far longer than the shuffle: the number of partitions is given, or they would be merged.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = table(spark, folder, "documents").where("text is not null").select("doc_id", "text")
+    nxt = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("prediction"))
+    return rows.withColumnRenamed("text", "reference").repartition(n, "doc_id").join(nxt.repartition(n, "doc_id"), "doc_id")
 
 
 SCORES = ["rouge1_f1", "rouge2_f1", "article_heading_f1", "distinct2", "repeated_4gram_ratio"]
@@ -174,7 +178,7 @@ def score_windows(spark, folder):
 
 
 def _scored(spark, folder):
-    rows = table(spark, folder, "prepared").select("source_index", "split", T.words(T.metric_text(F.col("text"))).alias("tokens"))
+    rows = texts(spark, folder, "prepared").select("source_index", "split", T.words(T.metric_text(F.col("text"))).alias("tokens"))
     rows = keep(rows, "lm-words")
     return E.bigram_scores(rows.where("split = 'train'"), rows.where("split in ('validation', 'test')"), "source_index", "tokens")
 
@@ -198,7 +202,7 @@ def progressive_loss(spark, folder):
 
 def pad_and_mask(spark, folder):
     lengths = F.transform(T.words(F.lower("text")), lambda w: F.length(w))
-    rows = table(spark, folder, "eval_passages").select(F.col("item_id").alias("id"), "text").unionByName(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"))
+    rows = table(spark, folder, "eval_passages").select(F.col("item_id").alias("id"), "text").unionByName(texts(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"))
     rows = rows.where("text is not null").select("id", K.append_eos(lengths, F.lit(0)).alias("ids"))
     ids, mask, labels = K.padded(F.col("ids"), 8, F.size("ids"), 0)
     return rows.select("id", F.array_join(ids, " ").alias("input_ids"), F.array_join(mask, " ").alias("attention_mask"), F.array_join(labels, " ").alias("labels"))
@@ -210,11 +214,11 @@ def training_step_plan(spark, folder):
 
 
 def evaluation_candidates(spark, folder):
-    return S.evaluation_candidates(table(spark, folder, "documents"), "doc_id", "text")
+    return S.evaluation_candidates(texts(spark, folder, "documents"), "doc_id", "text")
 
 
 def evaluation_selection(spark, folder):
-    return S.evaluation_candidates(table(spark, folder, "documents"), "doc_id", "text", limit=200).select("source_index", "reason")
+    return S.evaluation_candidates(texts(spark, folder, "documents"), "doc_id", "text", limit=200).select("source_index", "reason")
 
 
 def evaluation_skips(spark, folder):

@@ -13,6 +13,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table ``name``, for work that takes far longer than reading: see ``spread``."""
+    return spread(table(spark, folder, name))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in a partition for each core, where it comes in less than half as many (a single small file).
+
+    Tables of more files or row groups than that, so all large ones, stay as they are: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a new local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_textloom_folder", None)
