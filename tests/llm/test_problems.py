@@ -137,7 +137,7 @@ def test_least_squares_on_an_exact_case():
 
 def test_packed_rows(spark):
     lengths = [(i, rng.choice([1, 7, 7, 7, 30, 64, 99, 100, 250])) for i in range(500)] + [(900, None), (901, 0), (902, -3)]
-    rows = packing.packed(spark.createDataFrame(lengths, "id long, length long"), 100).collect()
+    rows = packing.packed(spark.createDataFrame(lengths, "id long, length long"), [100]).collect()
     filled, of = {}, {}
     for r in rows:
         filled[r["sequence"]] = filled.get(r["sequence"], 0) + r["length"]
@@ -146,7 +146,7 @@ def test_packed_rows(spark):
     want = {i: n for i, n in lengths if n and n > 0}
     assert {i: sum(v) for i, v in of.items()} == want
     assert all(len(v) == 1 for i, v in of.items() if want[i] <= 100) and all(len(v) == 3 for i, v in of.items() if want[i] == 250)
-    assert packing.packed(spark.createDataFrame([], "id long, length long"), 100).count() == 0
+    assert packing.packed(spark.createDataFrame([], "id long, length long"), [100, 50]).count() == 0
 
 
 # problem 4

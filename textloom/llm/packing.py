@@ -179,47 +179,49 @@ def sequence_types(histogram: dict[int, int], capacity: int, cells: int = CELLS,
     return sorted((kind, n) for kinds in opened.values() for kind, n in kinds.items())
 
 
-def packed(lengths: DataFrame, capacity: int, cells: int = CELLS, depth: int = DEPTH) -> DataFrame:
-    """(capacity, sequence, id, piece, length): the sequence of each record (id, length).
+def packed(lengths: DataFrame, capacities: list[int], cells: int = CELLS, depth: int = DEPTH) -> DataFrame:
+    """(capacity, sequence, id, piece, length): for each capacity, the sequence of each record (id, length).
 
-    A record longer than ``capacity`` is cut into whole sequences of its own and a rest; no other is
+    A record longer than the capacity is cut into whole sequences of its own and a rest; no other is
     divided.  Records without a length, or of none, get no row.  Sequences are numbered from 0 without
     gaps.  Records of equal length are taken in the order of their ids.
     """
     spark = lengths.sparkSession
-    whole = lengths.where("length > 0").select("id", F.col("length").cast("long").alias("length"))
-    pieces = whole.select("id", F.explode(F.sequence(F.lit(0), ((F.col("length") - 1) / capacity).cast("int"))).alias("piece"), F.col("length").alias("_all"))
-    pieces = pieces.select("id", "piece", F.least(F.lit(capacity), F.col("_all") - F.col("piece") * capacity).cast("int").alias("length"))
-    ranked = running_total(pieces, ["length"], ["id", "piece"], F.lit(1), "rank")
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
-    types = sequence_types(histogram, capacity, cells, depth)
+    whole = lengths.where("length > 0").select("id", F.col("length").cast("long").alias("_all"))
+    each = whole.select("id", "_all", F.explode(F.array(*[F.lit(int(c)) for c in sorted(set(capacities))])).alias("capacity"))
+    pieces = each.select("id", "capacity", "_all", F.explode(F.sequence(F.lit(0), F.floor((F.col("_all") - 1) / F.col("capacity")).cast("int"))).alias("piece"))
+    pieces = pieces.select("id", "capacity", "piece", F.least(F.col("capacity"), F.col("_all") - F.col("piece") * F.col("capacity")).cast("int").alias("length"))
+    ranked = running_total(pieces, ["capacity", "length"], ["id", "piece"], F.lit(1), "rank")
+    histograms: dict[int, dict[int, int]] = defaultdict(dict)
+    for r in pieces.groupBy("capacity", "length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most as many as the capacities' sum
+        histograms[r["capacity"]][r["length"]] = r["n"]
     # slots: for each length, the ranks that go to a type, and the type's first sequence
-    slots: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    taken: Counter = Counter()
-    first = 0
-    for kind, n in types:
-        for length, k in sorted(Counter(kind).items()):
-            slots[length].append((taken[length], k, first))
-            taken[length] += k * n
-        first += n
+    slots: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
+    for capacity, histogram in histograms.items():
+        taken: Counter = Counter()
+        first = 0
+        for kind, n in sequence_types(histogram, capacity, cells, depth):
+            for length, k in sorted(Counter(kind).items()):
+                slots[capacity, length].append((taken[length], k, first))
+                taken[length] += k * n
+            first += n
     tables = spark.sparkContext.broadcast({k: tuple(np.array(x, dtype=np.int64) for x in zip(*v)) for k, v in slots.items()})
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = tables.value
         for batch in batches:
-            length = batch.column("length").to_numpy(zero_copy_only=False)
-            rank = batch.column("rank").to_numpy(zero_copy_only=False) - 1
+            capacity, length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("capacity", "length", "rank"))
             sequence = np.zeros(length.size, dtype=np.int64)
-            for x in np.unique(length).tolist():
-                at = np.flatnonzero(length == x)
-                start, k, base = table[x]
-                i = np.searchsorted(start, rank[at], side="right") - 1
-                sequence[at] = base[i] + (rank[at] - start[i]) // k[i]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("piece"), batch.column("length"), pa.array(sequence)], ["id", "piece", "length", "sequence"])
-
-    rows = ranked.select(F.col("id"), F.col("piece"), F.col("length"), F.col("rank").cast("long").alias("rank"))
-    kind = dict(pieces.dtypes)["id"]
-    return rows.mapInArrow(place, f"id {kind}, piece int, length int, sequence long").withColumn("capacity", F.lit(capacity))
+            order = np.lexsort((length, capacity))
+            edges = np.flatnonzero(np.diff(capacity[order], prepend=-1) | np.diff(length[order], prepend=-1))
+            for at in np.split(order, edges[1:]) if order.size else []:
+                start, k, base = table[int(capacity[at[0]]), int(length[at[0]])]
+                i = np.searchsorted(start, rank[at] - 1, side="right") - 1
+                sequence[at] = base[i] + (rank[at] - 1 - start[i]) // k[i]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "capacity", "piece", "length")), pa.array(sequence)], ["id", "capacity", "piece", "length", "sequence"])
+
+    rows = ranked.select("id", "capacity", "piece", "length", F.col("rank").cast("long").alias("rank"))
+    return rows.mapInArrow(place, f"id {dict(pieces.dtypes)['id']}, capacity int, piece int, length int, sequence long")
 
 
 def packing_report(sequences: DataFrame) -> DataFrame:

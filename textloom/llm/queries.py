@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import keep, table
+from ..sources.tables import keep, table, texts
 from ..operators.components import shared_components
 from .difficulty import reading_levels
 from .leaks import find_leaks
@@ -17,7 +17,7 @@ from .splits import chunk_document_key, document_key, group_splits, separated
 
 
 def _overlap(spark: SparkSession, folder: str):
-    prepared = table(spark, folder, "prepared")
+    prepared = texts(spark, folder, "prepared")
     return prepared, *overlap_classes(prepared, "source_index", "text", F.col("split") == "train")
 
 
@@ -77,7 +77,7 @@ def p4_split_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     passages = [(r[0], r[1]) for r in table(spark, folder, "eval_passages").select("item_id", "text").collect()]  # the fixed held-out set
-    return find_leaks(table(spark, folder, "documents"), "doc_id", "text", passages)
+    return find_leaks(texts(spark, folder, "documents"), "doc_id", "text", passages)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,7 +112,7 @@ def _stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _document_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
+    documents = texts(spark, folder, "documents")
     counts = token_counts(documents, "doc_id", "text").join(documents.select(F.col("doc_id").alias("id"), F.length("text").alias("n_chars"), _language().alias("part")), "id")
     given = _stats(spark, folder).select("id", F.col("tokens_with_eos").alias("with_eos"), F.col("tokens_without_eos").alias("without_eos"), F.col("num_chars").alias("given_chars"))
     return budget_tokens(counts, given)
@@ -144,7 +144,7 @@ def p5_token_budget(spark: SparkSession, folder: str) -> DataFrame:
 
 def _source_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Each different text of documents once, under its least id, with its source and its tokens."""
-    documents = table(spark, folder, "documents").where(F.col("text").rlike(r"\S"))
+    documents = texts(spark, folder, "documents").where(F.col("text").rlike(r"\S"))
     once = documents.groupBy(F.unhex(F.sha2("text", 256)).alias("same")).agg(F.min(F.struct(F.col("doc_id"), F.col("source"))).alias("d"), F.count(F.lit(1)).alias("copies"))
     once = keep(once.select(F.col("d.doc_id").alias("id"), F.regexp_replace(spelled_alike(F.col("d.source")), " ", "-").alias("source")), "mix-texts")
     counts = token_counts(documents, "doc_id", "text")
@@ -163,7 +163,7 @@ def p7_mixture_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def _train_lengths(spark: SparkSession, folder: str) -> DataFrame:
     """(id, length) of the train records: tokens_with_eos, or an estimate from the text where that is missing or wrong."""
-    train = table(spark, folder, "prepared").where("split = 'train'")
+    train = texts(spark, folder, "prepared").where("split = 'train'")
     lang = F.when(F.col("text").rlike(r"(?i)\b(?:of|shall|must|will)\b"), "en").otherwise("vi")
     counts = token_counts(train, "source_index", "text").join(train.select(F.col("source_index").alias("id"), F.length("text").alias("n_chars"), lang.alias("part")), "id")
     given = train.select(F.col("source_index").alias("id"), F.col("tokens_with_eos").alias("with_eos"), F.col("tokens_without_eos").alias("without_eos"), F.col("num_chars").alias("given_chars"))
@@ -177,11 +177,7 @@ def _capacities(spark: SparkSession, folder: str) -> list[int]:
 
 def p3_sequences(spark: SparkSession, folder: str) -> DataFrame:
     """The sequence each train record goes to, for each capacity; long records in pieces."""
-    lengths = keep(_train_lengths(spark, folder), "pack-lengths")
-    parts = [packed(lengths, c) for c in _capacities(spark, folder)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = packed(_train_lengths(spark, folder), _capacities(spark, folder))
     return out.select("capacity", "sequence", F.col("id").alias("source_index"), "piece", "length")
 
 
@@ -191,7 +187,7 @@ def p3_packing_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    levels = reading_levels(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "reading_labels"), "reading_level", _language())
+    levels = reading_levels(texts(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "reading_labels"), "reading_level", _language())
     return levels.select(F.col("id").alias("doc_id"), "reading_level")
 
 
