@@ -21,7 +21,7 @@ from .fold import Words, fold, grams
 from .overlap import common_in_order, slices
 
 M, BLOCK_BITS, LANE, HALF = 5, 20, 256, 8
-COVER, ERRORS, SEEDS, STOCK, ENDS = 0.5, 0.2, 0.2, 0.05, 2
+COVER, ERRORS, SEEDS, STOCK, ENDS = 0.5, 0.2, 0.2, 0.05, 0.05
 
 
 class Patterns:
@@ -126,7 +126,7 @@ class Patterns:
         return out
 
 
-def stretch(passage: np.ndarray, text: np.ndarray, miss: int = 3) -> tuple[int, int]:
+def stretch(passage: np.ndarray, text: np.ndarray, miss: int = 2) -> tuple[int, int]:
     """Best local alignment (a word alike 1, an error -``miss``): its words of the passage, and errors."""
     m = text.size
     table = np.zeros((passage.size + 1, m + 1), dtype=np.int32)
@@ -155,8 +155,8 @@ def find_leaks(documents: DataFrame, id_column: str, text_column: str, passages:
     ``errors`` of the words are changed, added or left out.  ``passages`` is the held-out set of fixed
     size, sent to each task with the closure; the documents are read once, without a shuffle.  NULL
     or blank texts, and passages under five words, are never found.  A passage of which a document
-    has several stretches gives one row, with the longest.  As an alignment ends before an error at
-    the end of a stretch, ``ENDS`` words are allowed for those.  Repeated documents each have their rows.
+    has several stretches gives one row, with the longest.  As an alignment ends before errors at
+    the ends of a stretch, a share of ``ENDS`` is allowed for those.  Repeated documents each have their rows.
     """
     given = [(int(i), t) for i, t in passages if i is not None]
 
@@ -172,7 +172,7 @@ def find_leaks(documents: DataFrame, id_column: str, text_column: str, passages:
                     if common_in_order(x.tolist(), y.tolist()) < (1 - errors) * cover * x.size:
                         continue
                     n, e = stretch(x, y)
-                    if n + ENDS >= cover * x.size and e <= errors * n and (n, -e) > best.get((row, p), (0, 0)):
+                    if n >= (cover - ENDS) * x.size and e <= errors * n and (n, -e) > best.get((row, p), (0, 0)):
                         best[row, p] = n, -e
                 if best:
                     keys = list(best)
