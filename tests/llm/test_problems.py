@@ -27,6 +27,11 @@ def changed(words, share):
     return out
 
 
+def spoiled(words):
+    """Every seventh word changed, left out or followed by another."""
+    return [v for i, w in enumerate(words) for v in ([w] if i % 7 != 3 else [[rng.choice(VOCABULARY)], [], [w, rng.choice(VOCABULARY)]][i % 3])]
+
+
 # folding
 
 
@@ -258,7 +263,7 @@ def test_leaks(spark):
         item, text = passages[k % 30]
         words = text.split()
         kind = k % 4
-        part = words if kind == 0 else words[10:45] if kind == 1 else changed(words, 0.12) if kind == 2 else words[:20]
+        part = words if kind == 0 else words[10:45] if kind == 1 else spoiled(words) if kind == 2 else words[:20]
         if kind != 3:
             want.add((item, k))
         rows.append((k, " ".join(phrase(80) + part + phrase(40)).title().replace(" ", " . ") if k % 5 else " ".join(part)))
