@@ -23,7 +23,7 @@ from ..sources.tables import keep
 from .fold import fold, grams
 from .overlap import slices
 
-NODES, ROUNDS, MIN_WORDS, SEGMENTS, DOUBT, ENOUGH, SCALES = 1 << 16, 5, 50, 16, 20.0, 30, 64
+NODES, ROUNDS, MIN_WORDS, SEGMENTS, DOUBT, ENOUGH, SCALES, FAR = 1 << 16, 5, 50, 16, 20.0, 30, 64, 0.75
 #: A row of a table, and an entry of a list that ends in a figure.
 _TABLE = re.compile(r"^[^\n|]*\|[^\n|]*\|[^\n]*$", re.M)
 _ENTRY = re.compile(r"^[ \t]*(?:\(?\d+[.)]|[-–+•*])?[^\n]{0,160}?[:\t–-][ \t]*\d[\d., ]*[ \t]*$", re.M)
@@ -164,7 +164,7 @@ def reading_levels(documents: DataFrame, id_column: str, text_column: str, grade
     ``min_words`` words without tables and lists of figures, or mostly those, or NULL, gets no row.
     ``scale`` (a few values, such as languages) names groups of documents between which few words are
     shared: each with ``ENOUGH`` graded documents gets its own line and cubic.
-    A graded document keeps its grade unless its score is at least a level away.  Without any
+    A graded document keeps its grade unless its score is ``FAR`` levels away.  Without any
     grade there is no scale and no row.
     """
     spark = documents.sparkSession
@@ -213,7 +213,7 @@ def reading_levels(documents: DataFrame, id_column: str, text_column: str, grade
             z = _scores(words, counts, row, grade, s) - s.mean
             c = cubics[batch.column("scale").to_numpy(zero_copy_only=False)]
             level = np.clip(c[:, 0] + c[:, 1] * z + c[:, 2] * z**2 + c[:, 3] * z**3, 0.5, 5.5)
-            stands = ~np.isnan(grade) & (np.abs(level - grade) < 1.0)
+            stands = ~np.isnan(grade) & (np.abs(level - grade) < FAR)
             out = np.where(stands, (level + 2 * np.nan_to_num(grade)) / 3, level)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(level), pa.array(np.clip(np.rint(out), 1, 5).astype(np.int32))], ["id", "score", "reading_level"])
 
