@@ -192,6 +192,25 @@ def test_settings(tmp_path):
             make_settings(bad)
 
 
+def test_resolve(spark):
+    from textloom.sources import resolve as R
+
+    df = spark.createDataFrame([("a", "b")], "text string, content string")
+    assert R.content_column(df) == "content" and R.content_column(df, "text") == "text"
+    for bad in (lambda: R.content_column(df, "html"), lambda: R.content_column(df.select(F.lit(1).alias("x"))), lambda: R.pick_split(["a", "b"])):
+        with pytest.raises(KeyError):
+            bad()
+    assert [R.pick_split(x) for x in (["train", "data"], ["test", "train"], ["only"])] == ["data", "train", "only"]
+    assert R.newest_checkpoint(["x/checkpoint-9", "x/checkpoint-10", "x/checkpoint-a", "x/other-99"]) == "x/checkpoint-10"
+    assert R.newest_checkpoint([]) is None
+
+
+def test_truncation_and_ids(spark):
+    df = spark.createDataFrame([([1, 2, 3], None, 7)], "ids array<int>, k string, i long")
+    row = df.select(K.truncated(F.col("ids"), 3).alias("a"), K.truncated(F.col("ids"), 1).alias("b"), K.truncated(F.col("ids"), 0).alias("c"), K.record_id(F.col("k"), F.col("i")).alias("d")).first()
+    assert tuple(row) == ([1, 2], [1], [1, 2, 3], "7")
+
+
 def test_reports(spark):
     empty = spark.createDataFrame([(1, 1, 1, 1)], "num_chars long, num_lines long, tokens_with_eos long, article_count long").withColumn("tokens_without_eos", F.lit(0)).withColumn("document_id", F.lit("a|b")).withColumn("source_index", F.lit(0))
     text = sinks.analysis_report(A.numeric_summaries(empty), A.chunk_plans(empty), A.longest(empty))

@@ -16,6 +16,16 @@ def append_eos(ids: Column, eos: Column) -> Column:
     return F.when(F.try_element_at(ids, F.lit(-1)).eqNullSafe(eos), ids).otherwise(F.concat(ids, F.array(eos)))
 
 
+def truncated(ids: Column, most: int) -> Column:
+    """``ids`` with room for an end mark in ``most``, but one of them at least; 0 keeps all."""
+    return F.slice(ids, 1, max(1, most - 1)) if most else ids
+
+
+def record_id(given: Column, index: Column) -> Column:
+    """The id as text, or where it is missing the row's number."""
+    return F.coalesce(given.cast("string"), index.cast("string"))
+
+
 def chunk_target(capacity: Column, utilization: float) -> Column:
     return F.greatest(F.lit(1), F.least(F.floor(capacity * F.lit(utilization)).cast("long"), capacity.cast("long")))
 
