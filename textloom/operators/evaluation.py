@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import tokens as K
 from ..functions.sequences import chunked_lcs_f1_udf, overlaps_udf
-from .prefix import running_total
+from .prefix import running_totals
 
 CHAR_ORDERS, WORD_ORDERS, BETA = 6, 2, 2.0
 #: Which metrics are compared, and how.
@@ -110,8 +110,7 @@ def generation_means(records: DataFrame, by: list[str], percents: list[str], mea
 
 def progressive(records: DataFrame, order: str, nll: str = "nll_sum", scored: str = "scored") -> DataFrame:
     """After each record, the loss of all up to and with it: one pass, not one for each record."""
-    rows = running_total(records, [], [order], F.col(nll), "_n")
-    rows = running_total(rows, [], [order], F.col(scored), "_t")
+    rows = running_totals(records, [], [order], {"_n": F.col(nll), "_t": F.col(scored)})
     return rows.select(order, F.when(F.col("_t") > 0, F.col("_n") / F.col("_t")).otherwise(float("nan")).alias("nll_so_far"), F.col("_t").alias("tokens_so_far"))
 
 
