@@ -196,7 +196,7 @@ SELECT document_id, w AS "window", greatest(0, e - 512) AS "begin", e AS "end",
 f AS (SELECT id, ids, (ceil(len(ids) / 8) * 8)::BIGINT - len(ids) AS free FROM i)
 SELECT id, array_to_string(list_concat(ids, list_transform(range(free), lambda x: 0)), ' ') AS input_ids, array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(free), lambda x: 0)), ' ') AS attention_mask,
 array_to_string(list_concat(ids, list_transform(range(free), lambda x: -100)), ' ') AS labels FROM f""",
-    "training_step_plan": """WITH r AS (SELECT count(*) FILTER (split = 'train') AS train_rows FROM prepared), s AS (SELECT train_rows, 16 AS effective_batch_size, ceil(train_rows / 16)::BIGINT AS steps_per_epoch FROM r),
+    "training_step_plan": """WITH r AS (SELECT count(*) FILTER (split = 'train') AS train_rows FROM prepared), s AS (SELECT train_rows, 16::BIGINT AS effective_batch_size, ceil(train_rows / 16)::BIGINT AS steps_per_epoch FROM r),
 t AS (SELECT *, ceil(steps_per_epoch * 1.5)::BIGINT AS total_training_steps FROM s) SELECT *, ceil(total_training_steps * 0.03)::BIGINT AS warmup_steps, least(100, total_training_steps) AS eval_steps, least(10, total_training_steps) AS logging_steps FROM t""",
     "evaluation_candidates": f"WITH {CANDIDATES} SELECT * FROM candidates",
     "evaluation_selection": f"WITH {CANDIDATES}, o AS (SELECT *, row_number() OVER (ORDER BY md5('3407:' || source_index::VARCHAR), source_index) AS rk FROM candidates) SELECT source_index, reason FROM (SELECT *, coalesce(sum((reason = 'selected')::INT) OVER (ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM o) WHERE k < 200",
