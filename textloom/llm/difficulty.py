@@ -74,6 +74,12 @@ def _edges(nodes: int, min_words: int):
     return build
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 1500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = batch.column("words").to_pylist()
     sizes = np.fromiter((len(x) // 4 for x in words), np.int64, len(words))
@@ -108,7 +114,7 @@ def _moments(state):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: State = state.value
         sums: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in _small(batches):
             words, counts, row = _unpacked(batch)
             scale = batch.column("scale").to_numpy(zero_copy_only=False)
             y = batch.column("grade").to_numpy(zero_copy_only=False).astype(np.float64)
@@ -127,7 +133,7 @@ def _round(state, nodes: int, only_graded: bool):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: State = state.value
         total, mass = np.zeros(nodes), np.zeros(nodes)
-        for batch in batches:
+        for batch in _small(batches):
             words, counts, row = _unpacked(batch)
             score = batch.column("grade").to_numpy(zero_copy_only=False).astype(np.float64)
             if not only_graded:
@@ -207,7 +213,7 @@ def reading_levels(documents: DataFrame, id_column: str, text_column: str, grade
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, cubics = final.value
-        for batch in batches:
+        for batch in _small(batches):
             words, counts, row = _unpacked(batch)
             grade = batch.column("grade").to_numpy(zero_copy_only=False).astype(np.float64)
             z = _scores(words, counts, row, grade, s) - s.mean
