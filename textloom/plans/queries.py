@@ -274,13 +274,25 @@ def streaming_windows(spark, folder):
     return M.drain(sums).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "records", F.round("nll_sum", 4).alias("nll_sum"))
 
 
-def p2_found(spark, folder):
+def _field_values(spark, folder):
     metadata = table(spark, folder, "metadata")
     once = metadata.groupBy("source_index").agg(F.max("legal_sectors").alias("legal_sectors"), F.max("signers").alias("signers"))
     terms = [r[0] for r in table(spark, folder, "sector_terms").select("sector_name").collect()]  # a fixed list of names
     sectors = split_field(once, ["source_index"], "legal_sectors", terms).withColumn("field_name", F.lit("legal_sectors"))
     signers = split_field(once, ["source_index"], "signers").withColumn("field_name", F.lit("signers"))
-    return sectors.unionByName(signers).select("source_index", "field_name", "pos", "item_value")
+    return sectors.unionByName(signers)
+
+
+def p2_found(spark, folder):
+    return _field_values(spark, folder).select("source_index", "field_name", "pos", "item_value")
+
+
+def p2_value_report(spark, folder):
+    """Each value of each field: rows that have it, alone or packed, quoted, and flagged."""
+    rows = _field_values(spark, folder)
+    n = rows.groupBy("source_index", "field_name").agg(F.max("pos").alias("n"))
+    rows = rows.join(n, ["source_index", "field_name"])
+    return rows.groupBy("field_name", "item_value").agg(F.count(F.lit(1)).alias("values"), F.count_if(F.col("n") > 1).alias("packed"), F.count_if("quoted").alias("quoted"), F.count("flag").alias("flagged"))
 
 
 QUERIES = {
@@ -289,7 +301,7 @@ QUERIES = {
         document_stats, corpus_summary, group_summary_lang, group_summary_source, group_summary_sets, chunk_plan, recommended_plan, longest_documents, metadata_join_last_wins, metadata_group_summary,
         selection_reasons, selection_counters, selection_limit_n, seeded_split, seeded_split_summary, split_summary, split_leakage, shared_train_validation, structure_counts, html_clean_regex, html_clean_tree,
         continuation_scores, generation_means, rouge_l_chunked, corpus_ngram_overlaps, corpus_bleu, corpus_chrf, score_windows, lm_metrics, model_comparison, progressive_loss, pad_and_mask, training_step_plan,
-        evaluation_candidates, evaluation_selection, evaluation_skips, tokenized_stats, data_checks, dataset_fingerprint, streaming_metrics, streaming_windows, p2_found,
+        evaluation_candidates, evaluation_selection, evaluation_skips, tokenized_stats, data_checks, dataset_fingerprint, streaming_metrics, streaming_windows, p2_found, p2_value_report,
     )
 }
 __all__ = ["ORACLE", "QUERIES"]
