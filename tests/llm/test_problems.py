@@ -87,6 +87,14 @@ def test_overlap_against_brute_force(spark):
     assert found(spark, rows + rows[:4]) == got  # rows delivered again
 
 
+def test_overlap_of_a_large_family(spark):
+    base = phrase(120)
+    rows = [(i, " ".join(changed(base, rng.uniform(0.05, 0.12))), "test" if i % 14 == 0 else "train") for i in range(1100)]
+    rows += [(i, " ".join(phrase(60)), "test" if i % 2 else "train") for i in range(1100, 1140)]
+    want, got = brute_pairs(rows), set(found(spark, rows))
+    assert len(want) > 50_000 and got <= want and len(got) > 0.97 * len(want)
+
+
 def test_overlap_of_nothing(spark):
     assert found(spark, []) == [] and found(spark, [(1, None, None)]) == []
 
