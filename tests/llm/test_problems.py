@@ -286,6 +286,18 @@ def test_leaks(spark):
 # problem 7
 
 
+@pytest.mark.parametrize("kind", ["changed", "left out", "added"])
+def test_leaks_of_half_with_every_sixth_word_wrong(spark, kind):
+    passages = [(i, " ".join(phrase(40 + 12 * i))) for i in range(16)]
+    rows = []
+    for i, t in passages:
+        half = t.split()[5 : 5 + (20 + 6 * i)]
+        wrong = [v for j, w in enumerate(half) for v in ([w] if j % 6 != 3 else {"changed": [f"sai{j}"], "left out": [], "added": [w, f"sai{j}"]}[kind])]
+        rows.append((i, " ".join([*phrase(50), *wrong, *phrase(50)])))
+    got = {(r["item_id"], r["doc_id"]) for r in leaks.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", passages).collect()}
+    assert got == {(i, i) for i, _ in passages}
+
+
 def test_mixture(spark):
     rows = [(i, s, rng.randrange(50, 400)) for i, s in enumerate(["a"] * 3000 + ["b"] * 300 + ["c"] * 60 + ["other"] * 50)] + [(9000, None, 5), (9001, "a", 0), (9002, "a", None)]
     df = spark.createDataFrame(rows, "id long, source string, tokens long").withColumn("rate", F.lit(9)).withColumn("copies", F.lit(9)).withColumn("target_share", F.lit(9))

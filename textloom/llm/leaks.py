@@ -4,7 +4,7 @@ The alphabet is folded words (``fold``).  The patterns are all runs of ``M`` wor
 A block is two words; the shift table tells for each hashed block how far the search may move on, as
 no pattern can end any nearer.  Where the shift is zero the pattern bucket of the window's hash is
 looked up and the words are compared directly.  The search runs over many stretches of text in step
-(lanes of one array), so no Python loop runs over positions.  Occurrences of a passage on one diagonal
+(lanes of one array), so no Python loop runs over positions.  Occurrences of a passage on near diagonals
 are counted, and where there are enough the passage is aligned with that place of the text.
 """
 
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .fold import Words, fold, grams
 from .overlap import common_in_order, slices
 
-M, BLOCK_BITS, LANE, HALF = 5, 20, 256, 8
-COVER, ERRORS, SEEDS, STOCK, ENDS = 0.5, 0.2, 0.2, 0.05, 0.05
+M, BLOCK_BITS, LANE, HALF = 3, 20, 256, 8
+COVER, ERRORS, SEEDS, ENDS = 0.5, 0.2, 0.33, 0.05
 
 
 class Patterns:
@@ -47,22 +47,11 @@ class Patterns:
             for q in range(2, m + 1):  # the block that ends at word q of a pattern
                 np.minimum.at(self.shift, blocks[q - 2 : blocks.size - (m - q)], m - q)
         hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        keep = self._telling(hashes, passage)
-        hashes, passage, offset = hashes[keep], [np.concatenate([*passage, []]).astype(np.int64)[keep]], [np.concatenate([*offset, []]).astype(np.int64)[keep]]
+        passage, offset = [np.concatenate([*x, []]).astype(np.int64) for x in (passage, offset)]
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.first = np.unique(hashes[order], return_index=True)
         self.last = np.append(self.first[1:], order.size)
-        self.passage, self.offset = passage[0][order], offset[0][order]
-
-    def _telling(self, hashes: np.ndarray, passage: list[np.ndarray]) -> np.ndarray:
-        """Patterns to use: all but stock phrases, or all of a passage that is mostly stock phrases."""
-        if not hashes.size:
-            return np.zeros(0, dtype=bool)
-        _, at, many = np.unique(hashes, return_inverse=True, return_counts=True)
-        rare = many[at] <= max(3, STOCK * len(self.ids))
-        of = np.concatenate(passage)
-        share = np.bincount(of, rare, len(self.ids)) / np.maximum(1, np.bincount(of, minlength=len(self.ids)))
-        return rare | (share[of] < 0.5)
+        self.passage, self.offset = passage[order], offset[order]
 
     @staticmethod
     def block(words: np.ndarray) -> np.ndarray:
@@ -94,7 +83,9 @@ class Patterns:
         return start, bucket
 
     def candidates(self, w: Words, cover: float) -> list[tuple[int, int, int, int]]:
-        """(row, passage, from, to): where enough occurrences of a passage lie on one diagonal."""
+        """(row, passage, from, to): where enough occurrences of a passage lie on near diagonals.
+
+        Enough is two thirds of what a stretch of ``cover`` keeps with every sixth word changed (three runs in six words)."""
         start, bucket = self.occurrences(w)
         many = self.last[bucket] - self.first[bucket]
         total = int(many.sum())
@@ -104,20 +95,26 @@ class Patterns:
         entry = np.repeat(self.first[bucket] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(total)
         passage, offset = self.passage[entry], self.offset[entry]
         longest, rows = int(self.sizes.max()), int(w.row[-1]) + 1
+        pair, least = passage * rows + w.row[places], np.maximum(3, cover * SEEDS * self.sizes)
+        enough = (np.bincount(pair, minlength=rows * self.sizes.size).reshape(-1, rows) >= least[:, None]).ravel()[pair]
+        if not enough.any():
+            return []
+        places, passage, offset, pair = places[enough], passage[enough], offset[enough], pair[enough]
         cell = (places - offset + longest) // HALF
-        cells = int(cell.max()) + 2
-        code = np.sort((passage * rows + w.row[places]) * cells + cell)
+        wide = 2 + np.ceil(cover * ERRORS * self.sizes / HALF).astype(np.int64)  # cells that added and left-out words spread a stretch over
+        cells = int(cell.max()) + 1 + int(wide.max())
+        code = np.sort(pair * cells + cell)
         edge = np.flatnonzero(np.diff(code, prepend=-1))
         code, n = code[edge], np.diff(np.append(edge, code.size))
-        both = n.copy()
-        both[:-1] += np.where(code[1:] == code[:-1] + 1, n[1:], 0)  # a band is two cells wide
         who = code // cells
-        band = np.flatnonzero(both >= np.maximum(4, cover * SEEDS * self.sizes[who // rows]))
+        upto = np.concatenate(([0], np.cumsum(n)))
+        both = upto[np.searchsorted(code, code + wide[who // rows])] - upto[:-1]
+        band = np.flatnonzero(both >= least[who // rows])
         out, last = [], (-1, -1)
         for i in band.tolist():
             row, p, diagonal = int(who[i] % rows), int(who[i] // rows), int(code[i] % cells) * HALF - longest
             size, slack = int(self.sizes[p]), HALF + int(self.sizes[p]) // 5
-            lo, hi = max(int(w.first[row]), diagonal - slack), min(int(w.first[row + 1]), diagonal + 2 * HALF + size + slack)
+            lo, hi = max(int(w.first[row]), diagonal - slack), min(int(w.first[row + 1]), diagonal + int(wide[p]) * HALF + size + slack)
             if (row, p) == last and lo <= out[-1][2] + 4 * HALF:
                 out[-1] = (row, p, out[-1][2], hi)  # neighbouring bands are one place
             else:
@@ -154,7 +151,7 @@ def find_leaks(documents: DataFrame, id_column: str, text_column: str, passages:
     A stretch is consecutive words of the passage, at least ``cover`` of them, in which at most
     ``errors`` of the words are changed, added or left out.  ``passages`` is the held-out set of fixed
     size, sent to each task with the closure; the documents are read once, without a shuffle.  NULL
-    or blank texts, and passages under five words, are never found.  A passage of which a document
+    or blank texts, and passages under three words, are never found.  A passage of which a document
     has several stretches gives one row, with the longest.  As an alignment ends before errors at
     the ends of a stretch, a share of ``ENDS`` is allowed for those.  Repeated documents each have their rows.
     """
