@@ -316,6 +316,15 @@ def test_mixture(spark):
 # problem 8
 
 
+def test_repeated_text_under_a_source_with_a_target(spark, tmp_path):
+    text, other = " ".join(phrase(30)), " ".join(phrase(30))
+    rows = [(1, text, None), (2, text, "none"), (3, text, "News"), (4, text, "news"), (5, other, "none"), (6, other, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("news", 1.0, 1)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    assert sorted((r["id"], r["source"]) for r in queries._source_texts(spark, str(tmp_path)).collect()) == [(3, "news"), (5, "none")]
+    assert [(r["doc_id"], r["copies"]) for r in queries.p7_mixture(spark, str(tmp_path)).collect()] == [(3, 1)]
+
+
 def test_running_text():
     text = "Một câu văn có nhiều chữ.\n| 1 | 2 | 3 |\n1. Sở A: 12345\nCâu nữa."
     assert difficulty.running_text(text).split() == "Một câu văn có nhiều chữ. Câu nữa.".split()

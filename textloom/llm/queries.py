@@ -143,10 +143,13 @@ def p5_token_budget(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _source_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Each different text of documents once, under its least id, with its source and its tokens."""
+    """Each different text of documents once, with its source and its tokens: under its least id of a source in mix_targets, or else its least id."""
     documents = texts(spark, folder, "documents").where(F.col("text").rlike(r"\S"))
-    once = documents.groupBy(F.unhex(F.sha2("text", 256)).alias("same")).agg(F.min(F.struct(F.col("doc_id"), F.col("source"))).alias("d"), F.count(F.lit(1)).alias("copies"))
-    once = keep(once.select(F.col("d.doc_id").alias("id"), F.regexp_replace(spelled_alike(F.col("d.source")), " ", "-").alias("source")), "mix-texts")
+    targets = table(spark, folder, "mix_targets").where("target_share > 0 and max_repeats > 0").select(F.col("source").alias("target")).where("target is not null").distinct()
+    named = documents.select("doc_id", F.unhex(F.sha2("text", 256)).alias("same"), F.regexp_replace(spelled_alike(F.col("source")), " ", "-").alias("source"))
+    named = named.join(F.broadcast(targets), F.col("source") == F.col("target"), "left")  # a few sources
+    once = named.groupBy("same").agg(F.min(F.struct(F.col("target").isNull().alias("other"), "doc_id", "source")).alias("d"))
+    once = keep(once.select(F.col("d.doc_id").alias("id"), F.col("d.source").alias("source")), "mix-texts")
     counts = token_counts(documents, "doc_id", "text")
     return once.join(counts, "id")
 
