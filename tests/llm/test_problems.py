@@ -83,7 +83,8 @@ def test_overlap_against_brute_force(spark):
     want = brute_pairs([r for r in rows if r[1]])
     got = found(spark, rows)
     assert len(got) == len(set(got)) and set(got) == want
-    assert set(found(spark, rows, hot=3)) == want  # stock passages left out of the join lose nothing
+    assert set(found(spark, rows, stock_texts=20, stock_share=0.0)) == want  # stock passages left out of the join lose nothing
+    assert set(found(spark, rows, salt_rows=5)) == want
     assert found(spark, rows + rows[:4]) == got  # rows delivered again
 
 
@@ -102,16 +103,27 @@ def test_overlap_of_nothing(spark):
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 30), min_size=1, max_size=60), st.lists(st.integers(0, 30), min_size=1, max_size=60))
 def test_winnowing_keeps_every_long_shared_run(a, b):
-    counts = np.ones(1 << 14, dtype=np.int32)
     x, y = (fold.mix(np.array(v, dtype=np.uint64)) for v in (a, b))
-    hashes = [set(overlap.winnow(v, counts, 3, 4)[1].tolist()) for v in (x, y)]
+    hashes = [set(overlap.winnow(v, 3, 4)[1].tolist()) for v in (x, y)]
     for i in range(len(a) - 5):
         if any(a[i : i + 6] == b[j : j + 6] for j in range(len(b) - 5)):
             assert hashes[0] & hashes[1]
 
 
 def test_chain():
-    assert overlap.chain([0, 5, 9], [3, 8, 12]) == 3 and overlap.chain([0, 5, 9], [12, 8, 3]) == 1
+    assert overlap.chain([0, 5, 9], [3, 8, 12]) == [0, 1, 2] and len(overlap.chain([0, 5, 9], [12, 8, 3])) == 1
+    assert overlap.chain([9, 0, 5, 3], [12, 3, 8, 99]) == [1, 2, 0] and overlap.chain([], []) == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 12), max_size=40), st.lists(st.integers(0, 12), max_size=40))
+def test_alignment_through_seeds(a, b):
+    x, y = (fold.mix(np.array(v, dtype=np.uint64)) for v in (a, b))
+    (p, h), (q, g) = overlap.winnow(x, 2), overlap.winnow(y, 2)
+    _, i, j = np.intersect1d(h, g, assume_unique=True, return_indices=True)
+    at, to = p[i].tolist(), q[j].tolist()
+    got = overlap.extended(a, b, [(at[s], to[s]) for s in overlap.chain(at, to)], 2)
+    assert got <= overlap.common_in_order(a, b) and (got == len(a) if a == b else True)
 
 
 # problem 3
