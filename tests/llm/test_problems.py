@@ -262,6 +262,11 @@ def test_budget(spark):
 # problem 6
 
 
+def leaked(spark, df, passages, **more):
+    items = spark.createDataFrame(passages, "n long, words string")
+    return [(r["item_id"], r["doc_id"]) for r in leaks.find_leaks(df, "doc_id", "text", items, "n", "words", **more).collect()]
+
+
 def brute_occurrences(patterns, words):
     grams = {tuple(p[i : i + patterns.m]) for p in map(np.ndarray.tolist, patterns.words) for i in range(len(p) - patterns.m + 1)}
     rows = [words.hash[words.first[i] : words.first[i + 1]].tolist() for i in range(len(words.first) - 1)]
@@ -277,7 +282,7 @@ def test_search_skips_nothing():
 
 
 def test_leaks(spark):
-    passages = [(i, " ".join(phrase(60))) for i in range(30)] + [(90, None), (91, "ngắn quá")]
+    passages = [(i, " ".join(phrase(60))) for i in range(30)] + [(90, None), (91, "ngắn quá"), (None, "tu1 tu2 tu3")]
     rows, want = [], set()
     for k in range(120):
         item, text = passages[k % 30]
@@ -289,10 +294,11 @@ def test_leaks(spark):
         rows.append((k, " ".join(phrase(80) + part + phrase(40)).title().replace(" ", " . ") if k % 5 else " ".join(part)))
     rows += [(500, None), (501, ""), (502, " ")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit(1))
-    got = {(r["item_id"], r["doc_id"]) for r in leaks.find_leaks(df, "doc_id", "text", passages).collect()}
-    assert got == want
-    assert leaks.find_leaks(df, "doc_id", "text", []).count() == 0
-    assert leaks.find_leaks(df.where("doc_id < 0"), "doc_id", "text", passages).count() == 0
+    got = leaked(spark, df, passages)
+    assert len(got) == len(set(got)) and set(got) == want
+    assert set(leaked(spark, df, passages, search_passages=7)) == want  # in blocks
+    assert leaked(spark, df, []) == [] and leaked(spark, df.where("doc_id < 0"), passages) == []
+    assert set(leaked(spark, df, [(1, rows[3][1].split()[4]), (2, None), (3, " "), (None, "tu1 tu2 tu3"), (4, "không có")])) >= {(1, 3)}
 
 
 # problem 7
@@ -306,8 +312,37 @@ def test_leaks_of_half_with_every_sixth_word_wrong(spark, kind):
         half = t.split()[5 : 5 + (20 + 6 * i)]
         wrong = [v for j, w in enumerate(half) for v in ([w] if j % 6 != 3 else {"changed": [f"sai{j}"], "left out": [], "added": [w, f"sai{j}"]}[kind])]
         rows.append((i, " ".join([*phrase(50), *wrong, *phrase(50)])))
-    got = {(r["item_id"], r["doc_id"]) for r in leaks.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", passages).collect()}
-    assert got == {(i, i) for i, _ in passages}
+    assert set(leaked(spark, spark.createDataFrame(rows, "doc_id long, text string"), passages)) == {(i, i) for i, _ in passages}
+
+
+def test_short_passages():
+    patterns = leaks.Patterns([(1, "a b"), (2, "b"), (3, "a b c d")])
+    assert sorted(patterns.short_ones(fold.fold(["x a b", "b a", "a", "a. B"]))) == [(0, 0), (0, 1), (1, 1), (3, 0), (3, 1)]
+
+
+def brute_stretch(errors, share):
+    spans = [(j - i) for i in range(len(errors)) for j in range(i + 1, len(errors) + 1) if sum(errors[i:j]) <= share * (j - i) + 1e-9]
+    return max(spans, default=0)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=25))
+def test_longest_stretch(errors):
+    n, e = leaks.longest_stretch(np.array(errors, dtype=np.int64), 0.2)
+    assert n == brute_stretch(errors, 0.2) and e <= 0.2 * n + 1e-9
+
+
+def test_half_passages_with_one_word_in_six_wrong_at_random():
+    passages = [(i, " ".join(phrase(rng.randrange(64, 240)))) for i in range(150)]
+    patterns = leaks.Patterns(passages)
+    texts = []
+    for _, t in passages:
+        half = t.split()[7 : 7 + (len(t.split()) + 1) // 2]
+        at = set(rng.sample(range(len(half)), round(len(half) / 6)))
+        texts.append(" ".join([*phrase(60), *(v for i, w in enumerate(half) for v in ([w] if i not in at else rng.choice([[], [w, "sai"], ["sai"]]))), *phrase(60)]))
+    w = fold.fold(texts)
+    got = {p for row, p, lo, hi in patterns.candidates(w, 0.5) if row == p and leaks.longest_stretch(leaks.alignment(patterns.words[p], w.hash[lo:hi]), 0.2)[0] >= 0.5 * patterns.sizes[p]}
+    assert len(got) >= 0.85 * len(passages)
 
 
 def test_mixture(spark):

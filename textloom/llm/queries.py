@@ -76,8 +76,7 @@ def p4_split_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
-    passages = [(r[0], r[1]) for r in table(spark, folder, "eval_passages").select("item_id", "text").collect()]  # the fixed held-out set
-    return find_leaks(texts(spark, folder, "documents"), "doc_id", "text", passages)
+    return find_leaks(texts(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_passages"), "item_id", "text")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
