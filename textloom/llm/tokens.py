@@ -1,9 +1,10 @@
 """Problem 5: tokens of each text under an existing tokenizer, each distinct piece tokenized once.
 
-The tokenizer's pre-splitting is applied to whole batches on arrays of character classes.  The
-distinct pieces of the corpus are gathered and tokenized once each; the cached lengths are joined with
-the piece frequencies of the documents.  Lengths of the most frequent pieces, a table of fixed size,
-are sent to the tasks; rarer pieces are joined over a shuffle.  Both ways are exact.
+The tokenizer's pre-splitting is applied once, to whole batches on arrays of character classes; what
+is written down are each document's pieces, by hash, with their frequencies, and the distinct pieces of
+each batch.  The distinct pieces of the corpus are tokenized once each; the cached lengths are joined with
+the piece frequencies of the documents.  Lengths of frequent pieces, a table of bounded size, are sent to
+the tasks; rarer pieces are joined over a shuffle.  Both ways are exact.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .fold import mix
 from .overlap import slices
 
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-HEAD = 1 << 16
+HEAD = 1 << 18
 #: Fixed value: how the tokenizer splits text before it merges bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _CONTRACTION = re.compile(r"'(?:[stmd]|re|ve|ll)")
@@ -115,45 +116,65 @@ def _encoding(ranks: str):
     return tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of two kinds: a document's pieces (hashes and counts), and a piece of a batch with how often it stands there."""
+    names = ["id", "hashes", "counts", "hash", "piece", "n"]
     for batch in batches:
-        texts = batch.column(0).to_pylist()
+        ids, texts = batch.column(0), batch.column(1).to_pylist()
         for a, b in slices(texts):
-            p = Pieces(texts[a:b])
-            _, at, n = np.unique(p.hash, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"piece": pa.array([p.text(i) for i in at.tolist()], pa.string()), "n": pa.array(n, pa.int64())})
+            p, rows = Pieces(texts[a:b]), b - a
+            distinct, at, back, n = np.unique(p.hash, return_index=True, return_inverse=True, return_counts=True)
+            code = np.sort(p.row * np.int64(distinct.size) + back)  # document and piece
+            edge = np.flatnonzero(np.diff(code, prepend=-1))
+            count = np.diff(np.append(edge, code.size)).astype(np.uint32)
+            code = code[edge]
+            hashes = distinct[code % distinct.size] if distinct.size else distinct
+            cut = np.searchsorted(code, np.arange(rows + 1) * np.int64(distinct.size)) if distinct.size else np.zeros(rows + 1, np.int64)
+            yield pa.RecordBatch.from_arrays([
+                ids.slice(a, rows), pa.array([hashes[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), pa.array([count[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
+                pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.string()), pa.nulls(rows, pa.int64()),
+            ], names)
+            m = distinct.size
+            yield pa.RecordBatch.from_arrays([
+                pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(distinct.view(np.int64)), pa.array([p.text(i) for i in at.tolist()], pa.string()), pa.array(n, pa.int64()),
+            ], names)
+
+
+def split_pieces(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The pieces of each text and the distinct pieces of each batch, written down once; see ``piece_lengths`` and ``token_counts``."""
+    rows = df.select(F.col(id_column).cast("long").alias("id"), text_column)
+    return keep(rows.mapInArrow(_split, "id long, hashes binary, counts binary, hash long, piece string, n long"), "pieces")
 
 
-def piece_lengths(texts: DataFrame, column: str, ranks: str = RANKS) -> DataFrame:
-    """(piece, n, tokens): the distinct pieces of a column, how often each stands in it, its tokens."""
+def piece_lengths(split: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """(hash, piece, n, tokens): the distinct pieces, how often each stands in the texts, its tokens."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding = _encoding(ranks)
         for pdf in batches:
-            yield pdf.assign(tokens=[len(encoding.encode_ordinary(x)) for x in pdf["piece"]])
+            yield pdf.assign(tokens=[len(x) for x in encoding.encode_ordinary_batch(pdf["piece"].tolist(), num_threads=1)])
 
-    pieces = texts.where(F.col(column).isNotNull()).select(column).mapInArrow(_distinct, "piece string, n long")
-    return pieces.groupBy("piece").agg(F.sum("n").alias("n")).mapInPandas(encode, "piece string, n long, tokens long")
+    pieces = split.where(F.col("piece").isNotNull()).groupBy("hash", "piece").agg(F.sum("n").alias("n"))
+    return pieces.mapInPandas(encode, "hash long, piece string, n long, tokens long")
 
 
 def _counted(head):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, lengths = head.value
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                p = Pieces(texts[a:b])
-                distinct, at, back = np.unique(p.hash, return_index=True, return_inverse=True)
-                place = np.searchsorted(known, distinct)
-                place[place == known.size] = 0
-                found = known[place] == distinct if known.size else np.zeros(distinct.size, bool)
-                each = np.where(found, lengths[place] if known.size else 0, 0)
-                total = np.bincount(p.row, each[back], b - a).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.nulls(b - a, pa.string()), pa.array(total, pa.int64())], ["id", "piece", "n"])
-                rare = np.flatnonzero(~found[back])
-                if rare.size:
-                    pairs, n = np.unique(np.stack([p.row[rare], at[back[rare]]]), axis=1, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + pairs[0])), pa.array([p.text(i) for i in pairs[1].tolist()], pa.string()), pa.array(n, pa.int64())], ["id", "piece", "n"])
+            ids, packed = batch.column(0), batch.column(1).to_pylist()
+            sizes = np.fromiter((len(x) // 8 for x in packed), np.int64, len(packed))
+            hashes = np.frombuffer(b"".join(packed), np.int64)
+            counts = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).astype(np.int64)
+            row = np.repeat(np.arange(sizes.size), sizes)
+            place = np.searchsorted(known, hashes)
+            place[place == known.size] = 0
+            found = known[place] == hashes if known.size else np.zeros(hashes.size, bool)
+            total = np.bincount(row[found], lengths[place[found]] * counts[found], sizes.size).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([ids, pa.nulls(sizes.size, pa.int64()), pa.array(total)], ["id", "hash", "n"])
+            rare = np.flatnonzero(~found)
+            if rare.size:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[rare])), pa.array(hashes[rare]), pa.array(counts[rare])], ["id", "hash", "n"])
 
     return count
 
@@ -162,22 +183,20 @@ def token_counts(df: DataFrame, id_column: str, text_column: str, ranks: str = R
     """(id, tokens): tokens of each text, without any end mark.  NULL and empty texts have 0.
 
     ``id_column`` is a unique whole number.  ``ranks`` is a file of merge ranks that every executor can
-    read; it is never copied.  ``head`` bounds the table of frequent pieces that is sent to the tasks.
+    read; it is never copied.  Pieces that make up at least one in ``head`` of all, so at most ``head`` of them, are
+    looked up in a table that is sent to the tasks.  Pieces are told apart by a 64-bit hash.
     """
     spark = df.sparkSession
-    lengths = keep(piece_lengths(df, text_column, ranks), "piece-lengths")
-    top = lengths.orderBy(F.desc("n"), "piece").limit(head).select("piece", "tokens").toPandas()  # at most head rows
-    p = Pieces(top["piece"].tolist())
-    known = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(top):
-        one = p.start[np.flatnonzero(np.diff(p.row, prepend=-1))]
-        hashes = p.hash[np.searchsorted(p.start, one)]
-        order = np.argsort(hashes)
-        known = hashes[order], top["tokens"].to_numpy()[order]
-    rows = df.select(F.col(id_column).cast("long").alias("id"), text_column)
-    counted = keep(rows.mapInArrow(_counted(spark.sparkContext.broadcast(known)), "id long, piece string, n long"), "piece-counts")
-    rare = counted.where(F.col("piece").isNotNull()).join(lengths.select("piece", "tokens"), "piece").select("id", (F.col("n") * F.col("tokens")).alias("n"))
-    return counted.where(F.col("piece").isNull()).select("id", "n").unionByName(rare).groupBy("id").agg(F.sum("n").alias("tokens"))
+    split = split_pieces(df, id_column, text_column)
+    lengths = keep(piece_lengths(split, ranks), "piece-lengths")
+    total = lengths.agg(F.sum("n")).first()[0] or 0
+    often = lengths.where(F.col("n") * F.lit(head) >= F.lit(total)) if head else lengths.limit(0)
+    top = often.select("hash", "tokens").toPandas().sort_values("hash")  # at most head rows, as their frequencies sum up to the total
+    known = spark.sparkContext.broadcast((top["hash"].to_numpy(np.int64), top["tokens"].to_numpy(np.int64)))
+    counted = split.where(F.col("hashes").isNotNull()).select("id", "hashes", "counts").mapInArrow(_counted(known), "id long, hash long, n long")
+    counted = keep(counted, "piece-counts")
+    rare = counted.where(F.col("hash").isNotNull()).join(lengths.select("hash", "tokens"), "hash").select("id", (F.col("n") * F.col("tokens")).alias("n"))
+    return counted.where(F.col("hash").isNull()).select("id", "n").unionByName(rare).groupBy("id").agg(F.sum("n").alias("tokens"))
 
 
 def budget_tokens(counts: DataFrame, given: DataFrame, low: float = 0.6, high: float = 1.6) -> DataFrame:
