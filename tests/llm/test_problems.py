@@ -411,3 +411,17 @@ def test_found_columns(spark):
     want = {"p1_found": "source_index_a bigint, source_index_b bigint", "p4_found": "source_index bigint", "p6_found": "item_id bigint, doc_id bigint", "p8_found": "doc_id bigint, reading_level int"}
     for name, columns in want.items():
         assert ", ".join(f"{c} {t}" for c, t in queries.QUERIES[name](spark, FOLDER).dtypes) == columns
+
+
+def test_edges_of_more_than_two_bytes():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["chữ " * 70_000]), pa.array([0], pa.int32())], ["id", "text", "scale"])
+    (out,) = difficulty._edges(1 << 10, 50)(iter([batch]))
+    words, counts, _ = difficulty._unpacked(out)
+    assert counts.sum() == 70_000 + 69_999 and len(set(words.tolist())) == 2
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.ORACLE) - {"p4_found"}))
+def test_checks_like_sql(spark, name):
+    compare(spark, name, queries.QUERIES[name], queries.ORACLE[name], "/root/testdata/sf0.01")

@@ -2,11 +2,12 @@
 
 Documents and words (single words and pairs, hashed to a fixed number of word nodes) are the two
 sides of the graph; an edge weighs as often as the word stands in the document.  Graded documents are
-clamped to their grades; a word counts less while few documents tell of it.  In each round every word takes the mean of its documents and every document
-the mean of its words, both weighted; then the scale, which such means shrink, is put back by a
-straight line fitted on the graded documents.  A round reads the stored graph once: tasks sum up the
-word side for their documents and send arrays of fixed size.  After the last round a cubic fitted on the
-graded documents maps scores to levels.
+clamped to their grades; a word counts less while few documents tell of it.  In each round every word takes the
+mean of its documents and every document the mean of its words, both weighted; then the scale, which such
+means shrink, is put back by a straight line fitted on the graded documents.  Rounds go on until the words'
+values hardly change.  A round reads the stored graph once: tasks sum up the word side for their documents in
+arrays of fixed size, which are added in two steps.  At the end a cubic fitted on the graded documents takes the
+place of the line.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from ..sources.tables import keep
 from .fold import fold, grams
 from .overlap import slices
 
-NODES, ROUNDS, MIN_WORDS, SEGMENTS, DOUBT, ENOUGH, SCALES, FAR = 1 << 16, 5, 50, 16, 20.0, 30, 64, 0.75
+NODES, ROUNDS, SETTLED, MIN_WORDS, SEGMENTS, SPREAD, DOUBT, PRIOR, SCALES, FAR = 1 << 16, 30, 0.001, 50, 16, 512, 20.0, 30, 64, 0.75
 #: A row of a table, and an entry of a list that ends in a figure.
 _TABLE = re.compile(r"^[^\n|]*\|[^\n|]*\|[^\n]*$", re.M)
 _ENTRY = re.compile(r"^[ \t]*(?:\(?\d+[.)]|[-–+•*])?[^\n]{0,160}?[:\t–-][ \t]*\d[\d., ]*[ \t]*$", re.M)
@@ -61,8 +62,14 @@ def _edges(nodes: int, min_words: int):
                 node = np.concatenate([w.hash, pairs[inside]]) & np.uint64(nodes - 1)
                 code = np.sort((row << np.int64(32)) | node.astype(np.int64))
                 edge = np.flatnonzero(np.diff(code, prepend=-1))
-                count = np.minimum(np.diff(np.append(edge, code.size)), 65535).astype(np.uint16)
-                code = code[edge]
+                count, code = np.diff(np.append(edge, code.size)), code[edge]
+                if count.size and count.max() > 65535:  # an edge of more is several edges
+                    parts = -(-count // 65535)
+                    last = np.cumsum(parts) - 1
+                    rest, code = count - 65535 * (parts - 1), np.repeat(code, parts)
+                    count = np.full(code.size, 65535)
+                    count[last] = rest
+                count = count.astype(np.uint16)
                 cut = np.searchsorted(code, np.arange(b - a + 1, dtype=np.int64) << np.int64(32))
                 words = (code & 0xFFFFFFFF).astype(np.uint32)
                 picked = np.flatnonzero(enough)
@@ -107,6 +114,11 @@ class State:
         self.total, self.mass, self.mean, self.doubt = np.zeros(nodes), np.zeros(nodes), mean, DOUBT
         self.lines = np.array([[0.0, 1.0]])  # one for each scale
 
+    def change(self, last: "State") -> float:
+        """Mean change of the words' values."""
+        value = lambda s: s.total / np.maximum(s.mass, 1e-9)
+        return float(np.average(np.abs(value(self) - value(last)), weights=self.mass))
+
 
 def _moments(state):
     """Sums of powers of the graded documents' means, and of those by grades."""
@@ -122,7 +134,7 @@ def _moments(state):
             for g in np.unique(scale):
                 x, v = z[scale == g], y[scale == g]
                 sums[int(g)] = sums.get(int(g), 0) + np.array([*(np.sum(x**k) for k in range(7)), *(np.sum(v * x**k) for k in range(4))])
-        yield pa.RecordBatch.from_pydict({"segment": pa.array(list(sums), pa.int32()), "sums": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"segment": pa.array(list(sums), pa.int32()), "task": pa.array([_task()] * len(sums), pa.int32()), "sums": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
     return step
 
@@ -144,14 +156,27 @@ def _round(state, nodes: int, only_graded: bool):
             mass += np.bincount(words, counts, nodes)
         if mass.any():
             t, m = total.reshape(SEGMENTS, -1), mass.reshape(SEGMENTS, -1)
-            yield pa.RecordBatch.from_pydict({"segment": pa.array(range(SEGMENTS), pa.int32()), "sums": pa.array([np.concatenate(x).tobytes() for x in zip(t, m)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"segment": pa.array(range(SEGMENTS), pa.int32()), "task": pa.array([_task()] * SEGMENTS, pa.int32()), "sums": pa.array([np.concatenate(x).tobytes() for x in zip(t, m)], pa.binary())})
 
     return step
 
 
+def _task() -> int:
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    return context.partitionId() % SPREAD if context else 0
+
+
 def _add(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.float64) for x in table.column("sums").to_pylist())
-    return pa.table({"segment": table.column("segment")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+    total = sum(np.frombuffer(x.as_py(), np.float64) for x in table.column("sums"))
+    return pa.table({"segment": table.column("segment")[:1], "task": table.column("task")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def added(parts: DataFrame) -> DataFrame:
+    """Arrays of (segment, task, sums) added by segment, first those of some tasks each: no task gathers the arrays of all."""
+    schema = "segment int, task int, sums binary"
+    return parts.groupBy("segment", "task").applyInArrow(_add, schema).groupBy("segment").applyInArrow(_add, schema)
 
 
 def _fit(moments: np.ndarray, degree: int) -> np.ndarray:
@@ -169,9 +194,10 @@ def reading_levels(documents: DataFrame, id_column: str, text_column: str, grade
     counts; NULL grades and grades outside 1 to 5 don't.  A document whose text is under
     ``min_words`` words without tables and lists of figures, or mostly those, or NULL, gets no row.
     ``scale`` (a few values, such as languages) names groups of documents between which few words are
-    shared: each with ``ENOUGH`` graded documents gets its own line and cubic.
-    A graded document keeps its grade unless its score is ``FAR`` levels away.  Without any
-    grade there is no scale and no row.
+    shared: each gets its own line and cubic, drawn towards the common one as by ``PRIOR`` more graded documents.
+    A graded document keeps its grade unless its score, from the other documents' words, is ``FAR`` levels away: such
+    grades are taken for mistakes.  Rounds end when the words' values change by less than ``SETTLED`` in the mean, or
+    after ``rounds``.  Without any grade there is no scale and no row.
     """
     spark = documents.sparkSession
     part = F.coalesce(scale.cast("string"), F.lit("")) if scale is not None else F.lit("")
@@ -188,26 +214,28 @@ def reading_levels(documents: DataFrame, id_column: str, text_column: str, grade
         return spark.createDataFrame([], "id long, score double, reading_level int")
     graded = keep(graph.where(F.col("grade").isNotNull()), "reading-graded")
     state = State(nodes, float(mean))
-    schema = "segment int, sums binary"
+    schema = "segment int, task int, sums binary"
 
     def summed(rows: DataFrame, step) -> dict[int, np.ndarray]:
         parts = rows.select("words", "counts", "grade", "scale").mapInArrow(step, schema)
-        return {r["segment"]: np.frombuffer(r["sums"], np.float64) for r in parts.groupBy("segment").applyInArrow(_add, schema).collect()}  # arrays of fixed size
+        return {r["segment"]: np.frombuffer(r["sums"], np.float64) for r in added(parts).collect()}  # arrays of fixed size
 
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(state)
         got = summed(graph if k else graded, _round(sent, nodes, not k))
         sent.unpersist()
-        state, width = State(nodes, float(mean)), nodes // SEGMENTS
+        last, state, width = state, State(nodes, float(mean)), nodes // SEGMENTS
         for i, x in got.items():
             state.total[i * width : (i + 1) * width], state.mass[i * width : (i + 1) * width] = x[:width], x[width:]
         sent = spark.sparkContext.broadcast(state)
         moments = summed(graded, _moments(sent))
         sent.unpersist()
         every = sum(moments.values())
-        own = [moments[g] if g in moments and moments[g][0] >= ENOUGH else every for g in range(len(names) + 1)]
+        own = [moments.get(g, 0) + every * (PRIOR / every[0]) for g in range(len(names) + 1)]
         fits = np.array([_fit(m, 1) for m in own])
         state.lines = np.column_stack([fits[:, 0] - fits[:, 1] * state.mean, fits[:, 1]])
+        if k > 1 and state.change(last) < SETTLED:
+            break
     cubic = np.array([_fit(m, 3) for m in own])
     final = spark.sparkContext.broadcast((state, cubic))
 

@@ -12,7 +12,7 @@ from .leaks import find_leaks
 from .overlap import overlap_classes, overlap_rows
 from .mixing import mix_sources
 from .packing import packed, packing_report
-from .tokens import budget_tokens, spelled_alike, token_counts, written_out
+from .tokens import budget_tokens, piece_lengths, spelled_alike, split_pieces, token_counts, written_out
 from .splits import chunk_document_key, document_key, group_splits, separated
 
 
@@ -28,13 +28,28 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
+def _folded_source(column: str = "source"):
+    """Spellings of a source fall together."""
+    return F.regexp_replace(spelled_alike(F.col(column)), " ", "-")
+
+
+def _covered(spark: SparkSession, folder: str) -> DataFrame:
+    """Each record outside train: its split and source, and of its nearest train record the similarity, the share covered and whose copy it is."""
+    prepared, members, pairs = _overlap(spark, folder)
+    best = pairs.groupBy("class_eval").agg(F.max("similarity").alias("similarity"), F.max(F.col("common") / F.col("n_eval")).alias("coverage"), F.count(F.lit(1)).alias("train_texts"), F.max_by("class_train", F.struct("similarity", -F.col("class_train"))).alias("nearest"))
+    hit = members.where("not in_train").join(best, F.col("class") == F.col("class_eval")).select("id", "similarity", "coverage", "train_texts", "nearest")
+    rows = prepared.where(~F.coalesce(F.col("split") == "train", F.lit(False))).select("source_index", "document_id", "split", _folded_source().alias("source"))
+    return rows.join(hit, F.col("source_index") == F.col("id"), "left").drop("id")
+
+
 def p1_overlap_report(spark: SparkSession, folder: str) -> DataFrame:
     """Per evaluation split and source: records, overlapping records, copies and mean best coverage."""
-    prepared, members, pairs = _overlap(spark, folder)
-    eval_classes = pairs.groupBy("class_eval").agg(F.max("similarity").alias("best"), F.max(F.col("common") / F.col("n_eval")).alias("coverage"))
-    hit = members.where("not in_train").join(eval_classes, F.col("class") == F.col("class_eval")).select("id", "best", "coverage")
-    rows = prepared.where(~F.coalesce(F.col("split") == "train", F.lit(False))).select("source_index", "split", "source").join(hit, F.col("source_index") == F.col("id"), "left")
-    return rows.groupBy("split", "source").agg(F.count(F.lit(1)).alias("records"), F.count("id").alias("overlapping"), F.count_if(F.col("best") == 1).alias("copies"), F.avg("coverage").alias("mean_coverage"))
+    return _covered(spark, folder).groupBy("split", "source").agg(F.count(F.lit(1)).alias("records"), F.count("similarity").alias("overlapping"), F.count_if(F.col("similarity") == 1).alias("copies"), F.avg("coverage").alias("mean_coverage"))
+
+
+def p1_record_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Per overlapping record: the share of its words that a train record covers, and the nearest train text."""
+    return _covered(spark, folder).where("similarity is not null").select("source_index", "document_id", "split", "source", "coverage", "similarity", "train_texts", F.col("nearest").alias("class_train"))
 
 
 def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,7 +145,7 @@ def p5_token_budget(spark: SparkSession, folder: str) -> DataFrame:
     meta = _latest_metadata(spark, folder).select(F.expr("try_cast(id as long)").alias("id"), F.col("legal_type").alias("t2"), F.col("issuing_authority").alias("a2"))
     labels = labels.join(meta.where("id is not null"), "id", "left")
     first = lambda a, b: F.coalesce(F.when(F.trim(a) != "", F.col(a)), F.col(b))
-    labels = labels.select("id", F.regexp_replace(spelled_alike(F.col("source")), " ", "-").alias("source"), F.substring(spelled_alike(F.col("lang")), 1, 2).alias("lang"), spelled_alike(first("t1", "t2")).alias("legal_type"), spelled_alike(first("a1", "a2")).alias("issuing_authority"))
+    labels = labels.select("id", _folded_source().alias("source"), F.substring(spelled_alike(F.col("lang")), 1, 2).alias("lang"), spelled_alike(first("t1", "t2")).alias("legal_type"), spelled_alike(first("a1", "a2")).alias("issuing_authority"))
     labels = keep(labels, "budget-labels")
     types = written_out(labels, "legal_type")
     labels = labels.join(types, F.col("legal_type") == F.col("short"), "left").withColumn("legal_type", F.coalesce("long", "legal_type")).drop("short", "long")
@@ -145,7 +160,7 @@ def _source_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Each different text of documents once, with its source and its tokens: under its least id of a source in mix_targets, or else its least id."""
     documents = texts(spark, folder, "documents").where(F.col("text").rlike(r"\S"))
     targets = table(spark, folder, "mix_targets").where("target_share > 0 and max_repeats > 0").select(F.col("source").alias("target")).where("target is not null").distinct()
-    named = documents.select("doc_id", F.unhex(F.sha2("text", 256)).alias("same"), F.regexp_replace(spelled_alike(F.col("source")), " ", "-").alias("source"))
+    named = documents.select("doc_id", F.unhex(F.sha2("text", 256)).alias("same"), _folded_source().alias("source"))
     named = named.join(F.broadcast(targets), F.col("source") == F.col("target"), "left")  # a few sources
     once = named.groupBy("same").agg(F.min(F.struct(F.col("target").isNull().alias("other"), "doc_id", "source")).alias("d"))
     once = keep(once.select(F.col("d.doc_id").alias("id"), F.col("d.source").alias("source")), "mix-texts")
@@ -188,6 +203,41 @@ def p3_packing_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing_report(p3_sequences(spark, folder))
 
 
+def p3_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """For each capacity: records packed, sequences over it, records within it that were divided, and records not whole."""
+    lengths = keep(_train_lengths(spark, folder), "train-lengths")
+    rows = keep(packed(lengths, _capacities(spark, folder)), "packed")
+    filled = rows.groupBy("capacity", "sequence").agg(F.sum("length").alias("filled")).groupBy("capacity").agg(F.count_if(F.col("filled") > F.col("capacity")).alias("overfull_sequences"))
+    whole = rows.groupBy("capacity", "id").agg(F.sum("length").alias("got"), F.count(F.lit(1)).alias("n")).join(lengths, "id")
+    per = whole.groupBy("capacity").agg(F.count(F.lit(1)).alias("records"), F.count_if((F.col("n") > 1) & (F.col("length") <= F.col("capacity"))).alias("needlessly_divided"), F.count_if(F.col("got") != F.col("length")).alias("not_whole"))
+    return per.join(filled, "capacity").select(F.col("capacity").cast("long").alias("capacity"), "records", "overfull_sequences", "needlessly_divided", "not_whole")
+
+
+def p4_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with a new split, documents that it separates, and splits off their share by more than a hundredth."""
+    new = keep(p4_splits(spark, folder), "splits")
+    n = max(new.count(), 1)
+    apart = new.groupBy("entity").agg(F.countDistinct("new_split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("separated_documents"))
+    got = new.groupBy(F.col("new_split").alias("split")).agg((F.count(F.lit(1)) / F.lit(n)).alias("share"))
+    goals = table(spark, folder, "split_targets").join(got, "split", "left")
+    off = goals.agg(F.count_if(F.abs(F.coalesce("share", F.lit(0.0)) - F.col("target_share")) > 0.01).alias("splits_off_their_share"))
+    return new.agg(F.countDistinct("source_index").alias("records")).join(F.broadcast(apart)).join(F.broadcast(off))  # a row each
+
+
+def p5_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts counted, and by how much the sum of their tokens differs from that over all pieces and their frequencies."""
+    documents = texts(spark, folder, "documents")
+    pieces = piece_lengths(split_pieces(documents, "doc_id", "text")).agg(F.coalesce(F.sum(F.col("n") * F.col("tokens")), F.lit(0)).alias("by_piece"))
+    counted = token_counts(documents, "doc_id", "text").agg(F.count(F.lit(1)).alias("texts"), F.sum("tokens").alias("by_text"))
+    return counted.join(F.broadcast(pieces)).select("texts", (F.col("by_text") - F.col("by_piece")).alias("difference"))
+
+
+def p7_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Target sources, those whose tokens miss what they should have by more than one text, and those with a text used too often."""
+    report = p7_mixture_report(spark, folder)
+    return report.agg(F.count(F.lit(1)).alias("sources"), F.count_if(F.abs(F.col("mixed_tokens") - F.col("rate") * F.col("available")) > F.col("longest")).alias("off_their_share"), F.count_if(F.col("most_copies") > F.col("max_repeats")).alias("used_too_often"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     levels = reading_levels(texts(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "reading_labels"), "reading_level", _language())
     return levels.select(F.col("id").alias("doc_id"), "reading_level")
@@ -196,14 +246,18 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_overlap_report, p1_pairs, p1_members, p3_sequences, p3_packing_report, p4_found, p4_splits, p4_split_report,
-        p5_document_tokens, p5_token_budget, p6_found, p6_leak_report, p7_mixture, p7_mixture_report, p8_found,
+        p1_found, p1_overlap_report, p1_record_coverage, p1_pairs, p1_members, p3_sequences, p3_packing_report, p3_checks, p4_found, p4_splits, p4_split_report, p4_checks,
+        p5_document_tokens, p5_token_budget, p5_checks, p6_found, p6_leak_report, p7_mixture, p7_mixture_report, p7_checks, p8_found,
     )
 }
 _KEY = r"""CASE WHEN regexp_matches({x}, {p}) THEN concat_ws('-', regexp_extract({x}, {p}, 1), regexp_extract({x}, {p}, 2), regexp_extract({x}, {p}, 3)) || regexp_extract({x}, {p}, 4) END"""
 _FORM = r"'(?:^|[^a-z0-9])([a-z]{2})[^a-z0-9]*((?:19|20)[0-9]{2})[^a-z0-9]*0*([0-9]+)([a-z]?)(?:[^a-z0-9]|$)'"
 _KEYED = f"keyed AS (SELECT source_index, split, coalesce({_KEY.format(x='lower(document_id)', p=_FORM)}, {_KEY.format(x='lower(chunk_id)', p=_FORM)}, source_index::VARCHAR) AS k FROM prepared)"
-#: Where SQL can say it.
+#: Where SQL can say it; of checks, what must come out.
 ORACLE: dict[str, str] = {
+    "p3_checks": "SELECT max_seq_length - reserved_tokens AS capacity, (SELECT count(*) FROM prepared WHERE split = 'train') AS records, 0 AS overfull_sequences, 0 AS needlessly_divided, 0 AS not_whole FROM context_plans",
+    "p4_checks": "SELECT count(*) AS records, 0 AS separated_documents, 0 AS splits_off_their_share FROM prepared",
+    "p5_checks": "SELECT count(*) AS texts, 0 AS difference FROM documents",
+    "p7_checks": "SELECT count(*) AS sources, 0 AS off_their_share, 0 AS used_too_often FROM mix_targets",
     "p4_found": f"WITH {_KEYED} SELECT source_index FROM keyed WHERE k IN (SELECT k FROM keyed GROUP BY k HAVING count(DISTINCT coalesce(split, '')) > 1)",
 }
