@@ -212,11 +212,74 @@ def test_truncation_and_ids(spark):
 
 
 def test_reports(spark):
-    empty = spark.createDataFrame([(1, 1, 1, 1)], "num_chars long, num_lines long, tokens_with_eos long, article_count long").withColumn("tokens_without_eos", F.lit(0)).withColumn("document_id", F.lit("a|b")).withColumn("source_index", F.lit(0))
-    text = sinks.analysis_report(A.numeric_summaries(empty), A.chunk_plans(empty), A.longest(empty))
-    assert "a\\|b" in text and "max_seq_length" in text
     row = spark.createDataFrame([(2.0, 50.0)], "full_document_nll double, bleu double")
     better = spark.createDataFrame([(1.0, 40.0)], "full_document_nll double, bleu double")
     got = {r["metric"]: r for r in E.compare_models(row, better).collect()}
     assert got["full_document_nll"]["improvement"] == 1.0 and got["bleu"]["improvement"] == -10.0
-    assert "| bleu |" in sinks.comparison_report(E.compare_models(row, better))
+    text = sinks.comparison_report(E.compare_models(row, better), "a", "b", "test", 7)
+    assert "| bleu |" in text and "- base: a" in text and "Lower is better: full_document_nll." in text
+
+
+def test_tokenizers(spark):
+    from textloom.functions.tokenizers import BatchTokenizer, WordTokenizer
+
+    codes = BatchTokenizer("codes", lambda: lambda rows: [list(map(ord, t)) for t in rows], eos=ord("."), settings={"size": 9})
+    df = spark.createDataFrame([(1, "a b."), (2, "a b"), (3, ""), (4, None)], "k long, t string")
+    pick = lambda **more: {r["document_id"]: (r["tokens_without_eos"], r["tokens_with_eos"]) for r in A.document_stats(df, "k", "t", **more).collect()}
+    assert pick(tokenizer=codes) == {"1": (4, 4), "2": (3, 4), "3": (0, 1), "4": (0, 1)}
+    assert pick(tokenizer=codes, add_eos=False) == {"1": (4, 4), "2": (3, 3), "3": (0, 0), "4": (0, 0)}
+    assert pick() == {"1": (2, 3), "2": (2, 3), "3": (0, 1), "4": (0, 1)} and pick(add_eos=False)["2"] == (2, 2)
+    prints = {t.fingerprint() for t in (codes, WordTokenizer(), BatchTokenizer("codes", codes.load, eos=1), BatchTokenizer("codes", codes.load, eos=ord("."), settings={"size": 9}))}
+    assert len(prints) == 3
+    given_ = spark.createDataFrame([("1", 7, 8), ("1", 6, 7), (None, 1, 1)], "document_id string, tokens_without_eos long, tokens_with_eos long")
+    got = {r["document_id"]: r["tokens_with_eos"] for r in A.with_token_counts(A.document_stats(df, "k", "t"), given_).collect()}
+    assert got == {"1": 8, "2": 3, "3": 1, "4": 1}
+
+
+def test_top_groups_of_many(spark):
+    rows = spark.range(3000).select(F.col("id").alias("source_index"), (F.col("id") % 1000).cast("string").alias("g"), F.lit(1).alias("tokens_with_eos"), F.when(F.col("id") < 5, "x ").alias("h"))
+    got = A.group_summaries(rows, ["g", "h"]).collect()
+    assert [r["value"] for r in got if r["field"] == "g"] and {r["value"] for r in got if r["field"] == "g"} == {str(i) for i in range(30)}
+    assert {(r["value"], r["documents"]) for r in got if r["field"] == "h"} == {("x", 5), ("unknown", 2995)}
+
+
+def test_rows_at(spark):
+    df = spark.range(10).select(F.col("id").alias("source_index"))
+    assert sorted(r[0] for r in S.rows_at(df, spark.createDataFrame([(3,), (3,), (99,)], "source_index long")).collect()) == [3]
+
+
+def test_input_checks(spark, tmp_path):
+    from textloom.sources import resolve as R
+
+    df = spark.createDataFrame([("train", "a"), ("test", "b")], "split string, text string")
+    assert R.require_splits(df, ["train", "test"]) is df
+    with pytest.raises(ValueError, match="validation"):
+        R.require_splits(df, ["train", "validation"])
+    with pytest.raises(KeyError, match="body"):
+        R.require_splits(df, ["train"], ["body"])
+    there = {"x/document_token_stats.csv"}
+    with pytest.raises(FileNotFoundError):
+        R.analysis_paths("x", exists=there.__contains__)
+    assert R.analysis_paths("x", threshold=9, exists=there.__contains__) == ("x/document_token_stats.csv", None)
+    assert R.analysis_paths("x", summary="y", exists=lambda p: True) == ("x/document_token_stats.csv", "y")
+    with pytest.raises(ValueError, match="html"):
+        R.require_markdown({"content_format": "html"})
+
+
+def test_kept_tables_are_forgotten(spark):
+    from textloom.sources.tables import forget, keep
+
+    forget(spark)
+    df = keep(spark.range(3), "x")
+    assert df.count() == 3 and forget(spark) == 1 and forget(spark) == 0
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from textloom.sources.tables import shared_folder
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: "spark://host:7077" if key == "spark.master" else default)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(Session())

@@ -17,8 +17,12 @@ def test_normalize(spark):
 
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><script>x<y</script><p>a</p><div>b<br>c</div><table><tr><td>1</td><td>2</td></tr></table></body></html>"
-    assert one(spark, lambda t: T.clean_html(t, "html"), page).split() == ["a", "b", "c", "1", "2"]
-    assert one(spark, lambda t: T.clean_html(t, "html", tree=False), page).split() == ["t", "a", "b", "c", "1", "2"]
+    assert one(spark, lambda t: T.clean_html(t, "html"), page) == "a\nb\nc\n1 2"
+    assert one(spark, lambda t: T.clean_html(t, "html", tree=False), page) == "t a\nb\nc\n1 2"
+    raw = "<ul><li>a</li><li>b &amp; c</li></ul><table><tr><th>x</th><td>y</td></tr><tr><td>z</td></tr></table><h2>h</h2>e<br>f<noscript>n</noscript>"
+    assert T._page_text(raw) == "a\nb & c\n\nx\ty\t\nz\t\nh\ne\nf"
+    assert one(spark, T.strip_tags, "<p>a</p><script>1</script>b<BR/>c<td>d</td>") == " a\n b\nc d "
+    assert one(spark, T.strip_tags, "<style>a<script>b</style>c</script>d") == " c d"
     assert one(spark, lambda t: T.clean_html(t, "auto"), "< 1km and > 1.15") == "< 1km and > 1.15"
     assert one(spark, lambda t: T.clean_html(t, "markdown"), "<p>a</p>") == "<p>a</p>"
     assert one(spark, T.looks_like_html, "x </P >") and not one(spark, T.looks_like_html, "a < b > c")

@@ -50,11 +50,31 @@ class Evaluation:
         return bad + (["stride"] if self.stride > self.context else [])
 
 
+@dataclass(frozen=True)
+class Training:
+    """What the arithmetic of a training run needs; the training itself is not done here."""
+
+    batch: int = 1
+    accumulation: int = 16
+    epochs: float = 1.0
+    warmup: float = 0.03
+    eval_steps: int = 100
+    logging_steps: int = 10
+    max_steps: int = 0
+    pad_multiple: int = 8
+    kept_checkpoints: int = 3
+
+    def check(self) -> list[str]:
+        bad = [n for n in ("batch", "accumulation", "epochs", "eval_steps", "logging_steps", "pad_multiple", "kept_checkpoints") if getattr(self, n) <= 0]
+        return bad + [n for n in ("max_steps",) if getattr(self, n) < 0] + ([] if 0 <= self.warmup < 1 else ["warmup"])
+
+
 @dataclass(frozen=True)
 class Settings:
     analysis: Analysis = field(default_factory=Analysis)
     preparation: Preparation = field(default_factory=Preparation)
     evaluation: Evaluation = field(default_factory=Evaluation)
+    training: Training = field(default_factory=Training)
 
     def checked(self) -> Settings:
         bad = [f"{f.name}.{name}" for f in fields(self) for name in getattr(self, f.name).check()]

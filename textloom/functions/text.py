@@ -20,7 +20,9 @@ CHAPTER = r"^\s*CHƯƠNG\s+(?:[IVXLCDM]+|\d+)\b"
 SECTION = r"^\s*(?:MỤC|TIỂU\s+MỤC)\s+(?:[IVXLCDM]+|\d+)\b"
 ARTICLE_TWO = r"(?<![\p{L}\p{N}_])Điều\s+2\s*(?:[.:]|\b)"
 ARTICLE_NUMBER = r"(?<![\p{L}\p{N}_])Điều\s+(\d+[a-zđ]?(?:\.\d+)*)\b"
-HTML_TAGS = "html head body p div section article header footer ul ol li h[1-6] table thead tbody tfoot tr td th br span script style".split()
+HTML_TAG = r"(?is)<!doctype\s+html\b|</?(?:html|head|body|p|div|section|article|header|footer|ul|ol|li|h[1-6]|table|thead|tbody|tfoot|tr|td|th|br|span|script|style)\b[^>]*>"
+SKIPPED = r"(?is)<(script|style|noscript|template).*?>.*?</\1>"
+WORD = r"[\p{L}\p{N}_]+"
 BLOCK_TAGS = "p div section article header footer li ul ol h1 h2 h3 h4 h5 h6 tr".split()
 SKIPPED_TAGS = "script style noscript template".split()
 
@@ -77,7 +79,7 @@ def metric_text(text: Column) -> Column:
 
 
 def looks_like_html(text: Column) -> Column:
-    return text.rlike(r"(?is)<!doctype\s+html\b|</?(?:" + "|".join(HTML_TAGS) + r")\b[^>]*>")
+    return text.rlike(HTML_TAG)
 
 
 class _Tree(html.parser.HTMLParser):
@@ -123,8 +125,7 @@ def _page_texts(s: pd.Series) -> pd.Series:
 
 def strip_tags(text: Column) -> Column:
     """HTML to text by replacement alone; titles stay."""
-    for tag in SKIPPED_TAGS:
-        text = F.regexp_replace(text, rf"(?is)<{tag}.*?>.*?</{tag}>", " ")
+    text = F.regexp_replace(text, SKIPPED, " ")
     text = F.regexp_replace(text, r"(?i)<br\s*/?>", "\n")
     text = F.regexp_replace(text, r"(?i)</(?:p|div|section|article|li|tr|h[1-6])>", "\n")
     return F.regexp_replace(text, r"(?s)<[^>]+>", " ")
@@ -144,11 +145,11 @@ def clean_html(text: Column, content_format: str = "markdown", tree: bool = True
 
 def words(text: Column) -> Column:
     """Words of a ``metric_text``: letters, digits and underscores."""
-    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
 def count_words(text: Column) -> Column:
-    return F.regexp_count(F.lower(text), F.lit(r"[\p{L}\p{N}_]+")).cast("long")
+    return F.regexp_count(F.lower(text), F.lit(WORD)).cast("long")
 
 
 def blank_split(text: Column) -> Column:

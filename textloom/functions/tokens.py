@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def count_with_eos(n: Column) -> Column:
-    """Tokens with one end mark; a text of no tokens has the mark alone."""
-    return n + 1
+def count_with_eos(ids: Column, eos: Column | None) -> Column:
+    """Tokens with one end mark: one more than there are, unless they end in it or there is none."""
+    n = F.size(ids).cast("long")
+    return n if eos is None else n + F.when(F.try_element_at(ids, F.lit(-1)).eqNullSafe(eos) | eos.isNull(), 0).otherwise(1)
 
 
 def append_eos(ids: Column, eos: Column) -> Column:

@@ -11,6 +11,8 @@ from ..functions.sequences import chunked_lcs_f1_udf, overlaps_udf
 from .prefix import running_totals
 
 CHAR_ORDERS, WORD_ORDERS, BETA = 6, 2, 2.0
+SCORES = ("rouge1_f1", "rouge2_f1", "rougeL_chunked_f1", "article_heading_f1", "distinct2", "repeated_4gram_ratio")
+LENGTHS = ("prefix_tokens", "reference_tokens", "generated_tokens", "length_ratio", "generation_seconds")
 #: Which metrics are compared, and how.
 IGNORED = ("num_documents", "num_generation_documents", "full_document_scored_tokens", "wall_clock_seconds")
 LOWER_IS_BETTER = ("full_document_nll", "full_document_perplexity", "repeated_4gram_ratio_percent")
@@ -101,11 +103,14 @@ def token_metrics(rows: DataFrame, by: list[str], nll: str = "nll_sum", scored:
     return s.select(*by, "num_documents", t, loss.alias("full_document_nll"), perplexity(loss).alias("full_document_perplexity"), share("_1").alias("full_document_top1_accuracy_percent"), share("_5").alias("full_document_top5_accuracy_percent"))
 
 
-def generation_means(records: DataFrame, by: list[str], percents: list[str], means: list[str]) -> DataFrame:
-    """Means over records that have a prediction and a reference: shares in percent and plain ones; 0 of none."""
+def generation_means(records: DataFrame, by: list[str], percents: list[str], means: list[str], rates: dict[str, str] | None = None, totals: list[str] = ()) -> DataFrame:
+    """Means over records that have a prediction and a reference: shares in percent, plain ones, rates of flags and totals; 0 of none."""
     have = F.col("prediction").isNotNull() & F.col("reference").isNotNull()
     mean = lambda c: F.coalesce(F.avg(F.when(have, F.col(c).cast("double"))), F.lit(0.0))
-    return records.groupBy(*by).agg(F.count_if(have).alias("num_generation_documents"), *[(100 * mean(c)).alias(f"{c}_percent") for c in percents], *[mean(c).alias(f"average_{c}") for c in means])
+    return records.groupBy(*by).agg(
+        F.count_if(have).alias("num_generation_documents"), *[(100 * mean(c)).alias(f"{c}_percent") for c in percents], *[mean(c).alias(f"average_{c}") for c in means],
+        *[(100 * mean(c)).alias(name) for c, name in (rates or {}).items()], *[F.coalesce(F.sum(F.when(have, F.col(c).cast("double"))), F.lit(0.0)).alias(f"total_{c}") for c in totals],
+    )
 
 
 def progressive(records: DataFrame, order: str, nll: str = "nll_sum", scored: str = "scored") -> DataFrame:
@@ -117,43 +122,13 @@ def progressive(records: DataFrame, order: str, nll: str = "nll_sum", scored: st
 def logit_metrics(logits: DataFrame, position: list[str], token: str, logit: str, label: str, ignored: int = -100) -> DataFrame:
     """From one row for each candidate token of a position: its loss and whether the label is first or in the first five.
 
-    Positions whose label is ``ignored`` are left out.  Of equal logits the label counts as last.
+    Positions whose label is ``ignored`` are left out.  Of equal logits the label counts as last.  All sums are partial
+    sums: a vocabulary is never put together.
     """
-    rows = logits.where(F.col(label) != ignored)
-    x = rows.groupBy(*position).agg(F.max(logit).alias("_m"), F.max(F.when(F.col(token) == F.col(label), F.col(logit))).alias("_l"), F.collect_list(logit).alias("_all"))
-    total = F.aggregate("_all", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("_m")))
-    above = F.size(F.filter("_all", lambda v: v >= F.col("_l")))
-    return x.select(*position, (F.col("_m") + F.log(total) - F.col("_l")).alias("nll"), (above <= 1).cast("int").alias("top1"), (above <= 5).cast("int").alias("top5"))
-
-
-def bigram_scores(train: DataFrame, test: DataFrame, id_column: str, tokens: str, smoothing: float = 0.1) -> DataFrame:
-    """Per text, for a model of single words and one of word pairs: loss sum, scored tokens, top-1 and top-5 hits.
-
-    A stand-in for a language model's scores: additive smoothing over the words of ``train``.  Successors of
-    a word are ranked by count, then by word.
-    """
-    from pyspark.sql import Window
-
-    def steps(df: DataFrame) -> DataFrame:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.struct(F.element_at(tokens, i).alias("a"), F.element_at(tokens, i + 1).alias("b")))
-        return df.where(F.size(tokens) > 1).select(F.col(id_column), F.explode(pairs).alias("s")).select(id_column, "s.*")
-
-    pair = steps(train).groupBy("a", "b").agg(F.count(F.lit(1)).alias("ab"))
-    before = pair.groupBy("a").agg(F.sum("ab").alias("na"))
-    after = pair.groupBy("b").agg(F.sum("ab").alias("nb"))
-    v, total = after.agg(F.count(F.lit(1)), F.sum("nb")).first()
-    # the five likeliest successors: pre-aggregated pairs, of which a word has as many as the vocabulary at most
-    order = Window.partitionBy("a").orderBy(F.desc("ab"), "b")
-    ranked = pair.withColumn("rank", F.row_number().over(order))
-    common = after.orderBy(F.desc("nb"), "b").limit(5).withColumn("rank1", F.row_number().over(Window.orderBy(F.desc("nb"), "b"))).select("b", "rank1")  # five rows
-    test_pairs = steps(test).groupBy(id_column, "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    rows = test_pairs.join(ranked, ["a", "b"], "left").join(before, "a", "left").join(after, "b", "left").join(F.broadcast(common), "b", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    loss2 = -F.log((zero("ab") + smoothing) / (zero("na") + smoothing * (v or 1)))
-    loss1 = -F.log((zero("nb") + smoothing) / F.lit((total or 0) + smoothing * (v or 1)))
-    model = lambda name, loss, rank: F.struct(F.lit(name).alias("model"), (F.col("n") * loss).alias("nll"), F.col("n").alias("scored"), F.when(F.col(rank) <= 1, F.col("n")).otherwise(0).alias("t1"), F.when(F.col(rank) <= 5, F.col("n")).otherwise(0).alias("t5"))
-    rows = rows.select(id_column, F.explode(F.array(model("words", loss1, "rank1"), model("pairs", loss2, "rank"))).alias("m")).select(id_column, "m.*")
-    return rows.groupBy("model", id_column).agg(F.sum("nll").alias("nll_sum"), F.sum("scored").alias("scored"), F.sum("t1").alias("top1"), F.sum("t5").alias("top5"))
+    rows = logits.where(F.col(label) != ignored).select(*position, F.col(logit).cast("double").alias("_v"), (F.col(token) == F.col(label)).alias("_hit"))
+    x = rows.groupBy(*position).agg(F.max("_v").alias("_m"), F.max(F.when(F.col("_hit"), F.col("_v"))).alias("_l"))
+    per = rows.join(x, position).groupBy(*position).agg(F.first("_m").alias("_m"), F.first("_l").alias("_l"), F.sum(F.exp(F.col("_v") - F.col("_m"))).alias("_s"), F.count_if(F.col("_v") >= F.col("_l")).alias("_above"))
+    return per.select(*position, (F.col("_m") + F.log("_s") - F.col("_l")).alias("nll"), (F.col("_above") <= 1).cast("int").alias("top1"), (F.col("_above") <= 5).cast("int").alias("top5"))
 
 
 def compare_models(base: DataFrame, tuned: DataFrame) -> DataFrame:

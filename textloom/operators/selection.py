@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import tokens as K
 from ..sources.tables import keep
 from .prefix import running_total
 
@@ -42,6 +41,11 @@ def first_selected(reasons: DataFrame, limit: int, order: str = "source_index")
     return ranked.where(before < limit).drop("_n")
 
 
+def rows_at(df: DataFrame, indexes: DataFrame, key: str = "source_index") -> DataFrame:
+    """The rows whose place is named in ``indexes``, each once."""
+    return df.join(indexes.select(key), key, "left_semi")
+
+
 def seeded_rank(df: DataFrame, id_column: str, seed: int) -> DataFrame:
     """Adds ``rank`` from 1 in the order of a seeded hash of the id: the same for any partitioning."""
     keyed = df.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_column).cast("string"))))
@@ -119,11 +123,11 @@ def evaluation_candidates(df: DataFrame, id_column: str, text: str, limit: int =
     clean = F.coalesce(T.normalize_document(F.col(text)), F.lit(""))
     rows = df.select(F.col(id_column).alias("source_index"), clean.alias("clean"))
     rows = rows.select("source_index", T.count_words(F.col("clean")).alias("tokens"), (F.col("clean") == "").alias("blank"), continuation(F.col("clean"), **cut).alias("c"))
-    reason = F.when(F.col("blank"), "empty").when(K.count_with_eos(F.col("tokens")) < 2, "short").when(F.col("c").isNull(), "no_continuation").otherwise("selected")
+    reason = F.when(F.col("blank"), "empty").when(F.col("tokens") + 1 < 2, "short").when(F.col("c").isNull(), "no_continuation").otherwise("selected")
     rows = rows.select("source_index", reason.alias("reason"), "tokens", "c.split_method", "c.prefix_tokens", "c.reference_tokens")
     if not limit:
         return rows
-    ranked = keep(seeded_rank(rows, "source_index", seed), "evaluation")
+    ranked = keep(seeded_rank(keep(rows, "candidates"), "source_index", seed), "evaluation")  # ranges are cut from samples: the texts are read once
     return first_selected(ranked, limit, "rank")
 
 

@@ -7,27 +7,39 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import tokens as K
+from ..functions.tokenizers import WordTokenizer
 
 #: The candidate context lengths and what goes with them.
 CONTEXT_LENGTHS = (2048, 4096, 8192, 10000, 12000, 16000, 32768)
 RESERVED, UTILIZATION, OVERLAP, LONGEST, GROUPS, OVER_LIMIT = 16, 0.95, 128, 50, 30, 5.0
+PARTS = 64
 MEASURES = ("num_chars", "num_lines", "tokens_with_eos", "article_count")
 
 
-def document_stats(content: DataFrame, id_column: str, text: str, content_format: str = "markdown") -> DataFrame:
-    """One row for each document: characters, lines, word tokens and headings of the cleaned text.
+def document_stats(content: DataFrame, id_column: str, text: str, content_format: str = "markdown", tokenizer=WordTokenizer(), add_eos: bool = True) -> DataFrame:
+    """One row for each document: characters, lines, tokens and headings of the cleaned text.
 
-    NULL and empty texts count as empty: no characters or lines, and one token, the end mark.
+    NULL and empty texts count as empty: no characters or lines, and one token, the end mark.  ``tokenizer`` is
+    any with ``counts`` (functions.tokenizers); counts that are there already are put in by ``with_token_counts``.
     """
     clean = content.select(F.col(id_column).alias("source_index"), T.clean_html(F.col(text), content_format, tree=False).alias("clean"))
-    counted = clean.select("source_index", "clean", T.count_words(F.col("clean")).alias("n"))
+    without, with_eos = tokenizer.counts(F.col("clean"), add_eos)
+    counted = clean.select("source_index", "clean", without.alias("n"), with_eos.alias("m"))
     return counted.select(
         F.col("source_index").cast("string").alias("document_id"), "source_index", F.length("clean").cast("long").alias("num_chars"), T.count_lines(F.col("clean")).alias("num_lines"),
-        F.col("n").alias("tokens_without_eos"), K.count_with_eos(F.col("n")).alias("tokens_with_eos"), T.article_count(F.col("clean")).alias("article_count"),
+        F.col("n").alias("tokens_without_eos"), F.col("m").alias("tokens_with_eos"), T.article_count(F.col("clean")).alias("article_count"),
         T.chapter_count(F.col("clean")).alias("chapter_count"), T.section_count(F.col("clean")).alias("section_count"), (F.col("clean") == "").alias("empty_after_clean"),
     )
 
 
+def with_token_counts(stats: DataFrame, counts: DataFrame) -> DataFrame:
+    """``stats`` with the counts of another tokenizer: of ``counts`` (document_id, tokens_without_eos, tokens_with_eos) the greatest of
+    an id's rows; documents without a row keep their own."""
+    given = counts.where(F.col("document_id").isNotNull()).groupBy("document_id").agg(F.max(F.struct("tokens_with_eos", "tokens_without_eos")).alias("_given"))
+    joined = stats.join(given, "document_id", "left")
+    return joined.select(*[F.coalesce(f"_given.{c}", c).alias(c) if c in ("tokens_without_eos", "tokens_with_eos") else F.col(c) for c in stats.columns])
+
+
 def numeric_summaries(rows: DataFrame, measures: tuple[str, ...] = MEASURES) -> DataFrame:
     """Ten figures for each measure, with exact percentiles; all zero for an empty table."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("long").alias("v")) for m in measures])).alias("x")).select("x.*")
@@ -48,8 +60,11 @@ def group_summaries(rows: DataFrame, fields: list[str], tokens: str = "tokens_wi
     """Documents, mean, 95th percentile and most tokens of the ``top`` groups of each field; ties: the earlier one."""
     long = rows.select(F.col(tokens).alias("t"), F.col(order).alias("o"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), group_key(F.col(f)).alias("value")) for f in fields])).alias("x")).select("x.*", "t", "o")
     got = long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("documents"), F.avg("t").alias("mean_tokens"), F.percentile("t", F.lit(0.95)).alias("p95_tokens"), F.max("t").alias("max_tokens"), F.min("o").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("documents"), "first"))  # a row for each group
-    return got.withColumn("rank", rank).where(F.col("rank") <= top).select("field", "value", "documents", F.round("mean_tokens", 6).alias("mean_tokens"), F.round("p95_tokens", 6).alias("p95_tokens"), "max_tokens")
+    # the first of each part of a field's groups, then the first of those: no task holds all groups of a field
+    part = got.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(PARTS)))
+    for keys in (["field", "part"], ["field"]):
+        part = part.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("documents"), "first", "value"))).where(F.col("rank") <= top)
+    return part.select("field", "value", "documents", F.round("mean_tokens", 6).alias("mean_tokens"), F.round("p95_tokens", 6).alias("p95_tokens"), "max_tokens")
 
 
 def chunk_plans(rows: DataFrame, lengths=CONTEXT_LENGTHS, reserved: int = RESERVED, utilization: float = UTILIZATION, overlap: int = OVERLAP, tokens: str = "tokens_without_eos") -> DataFrame:

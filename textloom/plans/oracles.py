@@ -98,7 +98,8 @@ def _f1(a: str) -> str:
 NUMBERS = r"list_transform(regexp_extract_all(replace({0}, chr(160), ' '), '(?i)(?:^|[^\p{{L}}\p{{N}}_])Điều\s+(\d+[a-zđ]?(?:\.\d+)*)\b', 1), lambda x: lower(x))"
 SCORES = f"""{PAIRS}, {_overlap("u1", "w", "rw", "pw")}, {_overlap("u2", "w", _grams("rw", 2), _grams("pw", 2))}, {_overlap("ua", "w", NUMBERS.format("rt"), NUMBERS.format("pt"))},
 scores AS (SELECT w.doc_id, {_f1("u1")} AS rouge1_f1, {_f1("u2")} AS rouge2_f1, {_f1("ua")} AS article_heading_f1, CASE WHEN len(pw) > 1 THEN len(list_distinct({_grams("pw", 2)})) / (len(pw) - 1) ELSE 0.0 END AS distinct2,
-  CASE WHEN len(pw) > 3 THEN 1 - len(list_distinct({_grams("pw", 4)})) / (len(pw) - 3) ELSE 0.0 END AS repeated_4gram_ratio, length(pt) / greatest(1, length(rt)) AS length_ratio
+  CASE WHEN len(pw) > 3 THEN 1 - len(list_distinct({_grams("pw", 4)})) / (len(pw) - 3) ELSE 0.0 END AS repeated_4gram_ratio, length(pt) / greatest(1, length(rt)) AS length_ratio,
+  len({_words('lower(rt)')}) AS reference_tokens, len({_words('lower(pt)')}) AS generated_tokens, length(pt) / 64.0 AS seconds, (right(pt, 1) = '.')::INT AS ended
   FROM w LEFT JOIN u1 USING (doc_id) LEFT JOIN u2 USING (doc_id) LEFT JOIN ua USING (doc_id))"""
 FIVE = ["rouge1_f1", "rouge2_f1", "article_heading_f1", "distinct2", "repeated_4gram_ratio"]
 
@@ -123,18 +124,18 @@ SELECT round(100 * CASE WHEN max(predicted) FILTER (o = 1) > max(expected) FILTE
 CHRF = """, pr AS (SELECT sum(CASE WHEN predicted > 0 THEN matches / predicted ELSE 0 END) / 8 AS p, sum(CASE WHEN expected > 0 THEN matches / expected ELSE 0 END) / 8 AS r FROM corpus WHERE kind = 'chars' OR "order" <= 2)
 SELECT round(CASE WHEN 4 * p + r > 0 THEN 100 * 5 * p * r / (4 * p + r) ELSE 0 END, 6) AS chrf_plus_plus FROM pr"""
 
-LM = rf"""tok AS (SELECT source_index, split, {_words(_metric("text"))} AS t FROM prepared),
-steps AS (SELECT source_index, split, s.a, s.b FROM (SELECT source_index, split, unnest(list_transform(range(1, len(t)), lambda i: {{'a': t[i], 'b': t[i + 1]}})) AS s FROM tok WHERE len(t) > 1)),
-pair AS (SELECT a, b, count(*) AS ab FROM steps WHERE split = 'train' GROUP BY a, b), before AS (SELECT a, sum(ab) AS na FROM pair GROUP BY a), after AS (SELECT b, sum(ab) AS nb FROM pair GROUP BY b),
-size AS (SELECT count(*) AS v, sum(nb) AS total FROM after), ranked AS (SELECT a, b, ab, row_number() OVER (PARTITION BY a ORDER BY ab DESC, b) AS rk FROM pair),
-ranked1 AS (SELECT b, row_number() OVER (ORDER BY nb DESC, b) AS rk1 FROM after),
-test AS (SELECT source_index, a, b, count(*) AS n FROM steps WHERE split IN ('validation', 'test') GROUP BY ALL),
-joined AS (SELECT t.*, coalesce(ab, 0) AS ab, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb, rk, rk1, v, total FROM test t LEFT JOIN ranked r USING (a, b) LEFT JOIN before USING (a) LEFT JOIN after f ON f.b = t.b LEFT JOIN ranked1 k ON k.b = t.b, size),
-scored AS (SELECT 'pairs' AS model, source_index, sum(n * -ln((ab + 0.1) / (na + 0.1 * v))) AS nll_sum, sum(n) AS scored, coalesce(sum(n) FILTER (rk <= 1), 0) AS top1, coalesce(sum(n) FILTER (rk <= 5), 0) AS top5 FROM joined GROUP BY source_index
-  UNION ALL SELECT 'words', source_index, sum(n * -ln((nb + 0.1) / (total + 0.1 * v))), sum(n), coalesce(sum(n) FILTER (rk1 <= 1), 0), coalesce(sum(n) FILTER (rk1 <= 5), 0) FROM joined GROUP BY source_index),
+LM = """records AS (SELECT event_id, event_type AS model, value AS nll_sum, event_id % 7 + 1 AS scored, least(event_id % 7 + 1, event_id % 3) AS top1, least(event_id % 7 + 1, event_id % 5) AS top5 FROM events WHERE value IS NOT NULL),
 lm AS (SELECT model, count(*) AS num_documents, sum(scored)::BIGINT AS full_document_scored_tokens, sum(nll_sum) / sum(scored) AS full_document_nll, exp(least(sum(nll_sum) / sum(scored), 80)) AS full_document_perplexity,
-  100.0 * sum(top1) / sum(scored) AS full_document_top1_accuracy_percent, 100.0 * sum(top5) / sum(scored) AS full_document_top5_accuracy_percent FROM scored GROUP BY model)"""
+  100.0 * sum(top1) / sum(scored) AS full_document_top1_accuracy_percent, 100.0 * sum(top5) / sum(scored) AS full_document_top5_accuracy_percent FROM records GROUP BY model)"""
 LM_METRICS = ["full_document_nll", "full_document_perplexity", "full_document_top1_accuracy_percent", "full_document_top5_accuracy_percent"]
+#: A page's lines, as what its tags leave behind: {0} is the text of tags that are parsed (nothing) or replaced (a space).
+PAGE = """concat({title}, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 3 = 0 THEN concat({t}, x, chr(10)) WHEN (i - 1) % 3 = 1 THEN concat({t}, x, chr(10), x, chr(10)) ELSE concat({t}, x, {c}, i - 1, {c}, chr(10)) END), {t}), {t})"""
+
+
+def _page(tree: bool) -> str:
+    made = PAGE.format(title="''" if tree else "coalesce(title, ''), ' '", t="''" if tree else "' '", c="chr(9)" if tree else "' '")
+    return f"SELECT doc_id, text IS NOT NULL AS is_html, CASE WHEN text IS NULL THEN '' ELSE {_normal(made)} END AS clean FROM documents"
+
 
 CANDIDATES = rf"""cleaned AS (SELECT doc_id AS source_index, coalesce({_spaced("replace(replace(replace(nfc_normalize(text), chr(160), ' '), chr(13) || chr(10), chr(10)), chr(13), chr(10))", "[ \t]+")}, '') AS c FROM documents),
 placed AS (SELECT *, regexp_extract(c, '(?is)^(.*?)(?:^|[^\p{{L}}\p{{N}}_])Điều\s+2\s*(?:[.:]|\b)', 0) AS hit, regexp_extract(c, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(Điều\s+2\s*(?:[.:]|\b))', 1) AS named FROM cleaned),
@@ -180,7 +181,7 @@ ORACLE: dict[str, str] = {
     "html_clean_regex": CLEAN_HTML,
     "html_clean_tree": CLEAN_HTML,
     "continuation_scores": f"WITH {SCORES} SELECT doc_id, {', '.join(f'round({c}, 6) AS {c}' for c in FIVE)} FROM scores",
-    "generation_means": f"WITH {SCORES} SELECT count(*) AS num_generation_documents, {', '.join(f'round(100 * avg({c}), 6) AS {c}_percent' for c in FIVE)}, round(avg(length_ratio), 6) AS average_length_ratio FROM scores",
+    "generation_means": f"WITH {SCORES} SELECT count(*) AS num_generation_documents, {', '.join(f'round(100 * avg({c}), 6) AS {c}_percent' for c in FIVE)}, round(avg(length_ratio), 6) AS average_length_ratio, round(avg(reference_tokens), 6) AS average_reference_tokens, round(avg(generated_tokens), 6) AS average_generated_tokens, round(avg(seconds), 6) AS average_generation_seconds, round(100 * avg(ended), 6) AS eos_rate_percent, round(sum(seconds), 6) AS total_generation_seconds FROM scores",
     "corpus_ngram_overlaps": f"WITH {_corpus()} SELECT * FROM corpus",
     "corpus_bleu": f"WITH {_corpus()} {BLEU}",
     "corpus_chrf": f"WITH {_corpus()} {CHRF}",
@@ -189,13 +190,31 @@ e AS (SELECT *, least(512 + w * 128, t) AS e, CASE WHEN w = 0 THEN 0 ELSE least(
 SELECT document_id, w AS "window", greatest(0, e - 512) AS "begin", e AS "end", greatest(l, greatest(0, e - 512) + 1) AS score_from FROM e""",
     "lm_metrics": f"WITH {LM} SELECT model, num_documents, full_document_scored_tokens, {', '.join(f'round({c}, 6) AS {c}' for c in LM_METRICS)} FROM lm",
     "model_comparison": f"WITH {LM} SELECT * FROM ("
-    + " UNION ALL ".join(f"SELECT '{c}' AS metric, round(a.{c}, 6) AS base, round(b.{c}, 6) AS finetuned, round(b.{c} - a.{c}, 6) AS delta_finetuned_minus_base, round({'a' if i < 2 else 'b'}.{c} - {'b' if i < 2 else 'a'}.{c}, 6) AS improvement, {i >= 2} AS higher_is_better FROM lm a, lm b WHERE a.model = 'words' AND b.model = 'pairs'" for i, c in enumerate(LM_METRICS))
+    + " UNION ALL ".join(f"SELECT '{c}' AS metric, round(a.{c}, 6) AS base, round(b.{c}, 6) AS finetuned, round(b.{c} - a.{c}, 6) AS delta_finetuned_minus_base, round({'a' if i < 2 else 'b'}.{c} - {'b' if i < 2 else 'a'}.{c}, 6) AS improvement, {i >= 2} AS higher_is_better FROM lm a, lm b WHERE a.model = 'view' AND b.model = 'click'" for i, c in enumerate(LM_METRICS))
     + ")",
-    "progressive_loss": f"WITH {LM} SELECT source_index, round(sum(nll_sum) OVER o / sum(scored) OVER o, 6) AS nll_so_far, (sum(scored) OVER o)::BIGINT AS tokens_so_far FROM scored WHERE model = 'pairs' WINDOW o AS (ORDER BY source_index)",
+    "progressive_loss": f"WITH {LM} SELECT event_id, round(sum(nll_sum) OVER o / sum(scored) OVER o, 6) AS nll_so_far, (sum(scored) OVER o)::BIGINT AS tokens_so_far FROM records WHERE model = 'view' WINDOW o AS (ORDER BY event_id)",
+    "loss_perplexities": f"""WITH {LM}, m AS (SELECT model, sum(nll_sum) / sum(scored) AS l, max(nll_sum) AS most FROM records GROUP BY model), named AS (SELECT model || '_token_nll' AS metric, l AS value FROM m UNION ALL SELECT model || '_worst_loss', most FROM m UNION ALL SELECT model || '_accuracy', 0.5 FROM m)
+SELECT metric, round(value, 4) AS value FROM named UNION ALL SELECT CASE WHEN metric LIKE '%!_loss' ESCAPE '!' THEN regexp_replace(metric, '_loss$', '_perplexity') ELSE regexp_replace(metric, '_token_nll$', '_token_perplexity') END, CASE WHEN value < 80 THEN round(exp(value), 4) ELSE 'Infinity'::DOUBLE END FROM named WHERE metric NOT LIKE '%accuracy'""",
+    "best_checkpoints": """WITH s AS (SELECT floor(epoch(ts) / 60)::BIGINT AS step, avg(value) AS l FROM events GROUP BY 1), best AS (SELECT step FROM s ORDER BY l, step LIMIT 1), kept AS (SELECT step FROM (SELECT step FROM s ORDER BY step DESC LIMIT 3) UNION SELECT step FROM best)
+SELECT step, step IN (SELECT step FROM best) AS best FROM kept""",
+    "logit_metrics": """WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, embedding[label + 1]::DOUBLE AS l, list_max(embedding)::DOUBLE AS m FROM embeddings)
+SELECT vec_id, round(max(m) + ln(sum(exp(v - m))) - max(l), 5) AS nll, (count(*) FILTER (v >= l) <= 1)::INT AS top1, (count(*) FILTER (v >= l) <= 5)::INT AS top5 FROM x GROUP BY vec_id""",
     "pad_and_mask": f"""WITH r AS (SELECT item_id AS id, text FROM eval_passages UNION ALL SELECT doc_id, text FROM documents), i AS (SELECT id, list_append(list_transform({_words('lower(text)')}, lambda w: length(w)), 0) AS ids FROM r WHERE text IS NOT NULL),
-f AS (SELECT id, ids, (ceil(len(ids) / 8) * 8)::BIGINT - len(ids) AS free FROM i)
-SELECT id, array_to_string(list_concat(ids, list_transform(range(free), lambda x: 0)), ' ') AS input_ids, array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(free), lambda x: 0)), ' ') AS attention_mask,
+b AS (SELECT id, ids, (row_number() OVER (ORDER BY id) - 1) // 4 AS batch FROM i), f AS (SELECT id, batch, ids, (ceil(max(len(ids)) OVER (PARTITION BY batch) / 8) * 8)::BIGINT - len(ids) AS free FROM b)
+SELECT id, batch, array_to_string(list_concat(ids, list_transform(range(free), lambda x: 0)), ' ') AS input_ids, array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(free), lambda x: 0)), ' ') AS attention_mask,
 array_to_string(list_concat(ids, list_transform(range(free), lambda x: -100)), ' ') AS labels FROM f""",
+    "html_pages_tree": _page(True),
+    "html_pages_regex": _page(False),
+    "document_stats_codes": f"WITH {STATS} SELECT s.* REPLACE (length(c) AS tokens_without_eos, length(c) + CASE WHEN right(c, 1) = '.' THEN 0 ELSE 1 END AS tokens_with_eos) FROM stats s JOIN clean ON clean.doc_id = s.source_index",
+    "document_stats_given": f"""WITH {STATS}, given AS (SELECT document_id, max({{'a': tokens_with_eos, 'b': tokens_without_eos}}) AS g FROM document_token_stats WHERE document_id IS NOT NULL GROUP BY 1)
+SELECT s.* REPLACE (coalesce(g.b, s.tokens_without_eos) AS tokens_without_eos, coalesce(g.a, s.tokens_with_eos) AS tokens_with_eos) FROM stats s LEFT JOIN given USING (document_id)""",
+    "prepared_documents": f"""WITH {STATS}, {REASONS}, chosen AS (SELECT document_id, source_index, num_chars, tokens_with_eos FROM reasons WHERE reason = 'selected'), {_split('chosen', 'document_id')}
+SELECT document_id, document_id || '::0000' AS chunk_id, 'full_document_p95' AS chunk_type, source_index, num_chars, tokens_with_eos, md5(c) AS text_md5, split FROM split JOIN clean ON clean.doc_id = source_index""",
+    "preparation_checks": "SELECT unnest(['id_mismatch', 'changed_length', 'over_threshold', 'empty_text', 'repeated_document', 'nothing_selected', 'content_without_stats', 'stats_without_content']) AS check_name, 0 AS violations",
+    "preparation_manifest": f"""WITH {STATS}, {REASONS}, chosen AS (SELECT document_id, tokens_with_eos FROM reasons WHERE reason = 'selected'), {_split('chosen', 'document_id')},
+counters AS ({COUNTERS} reasons), per AS ({_split_summary('split')})
+SELECT name AS figure, value::DOUBLE AS value FROM (UNPIVOT (SELECT c.*, (SELECT p95 FROM limits) AS p95_threshold FROM counters c) ON COLUMNS(*) INTO NAME name VALUE value)
+UNION ALL SELECT split || '.' || name, value FROM (UNPIVOT (SELECT split, rows::DOUBLE AS rows, documents::DOUBLE AS documents, tokens::DOUBLE AS tokens, min_tokens::DOUBLE AS min_tokens, mean_tokens::DOUBLE AS mean_tokens, max_tokens::DOUBLE AS max_tokens FROM per) ON COLUMNS(* EXCLUDE split) INTO NAME name VALUE value)""",
     "training_step_plan": """WITH r AS (SELECT count(*) FILTER (split = 'train') AS train_rows FROM prepared), s AS (SELECT train_rows, 16::BIGINT AS effective_batch_size, ceil(train_rows / 16)::BIGINT AS steps_per_epoch FROM r),
 t AS (SELECT *, ceil(steps_per_epoch * 1.5)::BIGINT AS total_training_steps FROM s) SELECT *, ceil(total_training_steps * 0.03)::BIGINT AS warmup_steps, least(100, total_training_steps) AS eval_steps, least(10, total_training_steps) AS logging_steps FROM t""",
     "evaluation_candidates": f"WITH {CANDIDATES} SELECT * FROM candidates",
@@ -205,6 +224,7 @@ t AS (SELECT *, ceil(steps_per_epoch * 1.5)::BIGINT AS total_training_steps FROM
     "data_checks": rf"""WITH {STATS}, ids AS (SELECT DISTINCT document_id FROM document_token_stats WHERE document_id IS NOT NULL)
 SELECT 'empty_text' AS check_name, count(*) FILTER (NOT coalesce(regexp_matches(text, '\S'), false)) AS violations FROM prepared UNION ALL SELECT 'over_context', count(*) FILTER (tokens_with_eos > 19984) FROM prepared
 UNION ALL SELECT 'no_end_mark', count(*) FILTER (tokens_with_eos <> tokens_without_eos + 1) FROM prepared UNION ALL SELECT 'wrong_length', count(*) FILTER (length(text) <> num_chars) FROM prepared
+UNION ALL SELECT 'changed_length', count(*) FILTER (length(coalesce({_normal('text')}, '')) <> num_chars) FROM prepared
 UNION ALL SELECT 'repeated_source_index', count(*) FROM (SELECT source_index FROM prepared GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'repeated_stats', count(*) FROM (SELECT document_id FROM document_token_stats GROUP BY 1 HAVING count(*) > 1)
 UNION ALL SELECT 'documents_without_stats', count(*) FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT document_id FROM ids) UNION ALL SELECT 'stats_without_document', count(*) FROM ids WHERE document_id NOT IN (SELECT doc_id::VARCHAR FROM documents)
 UNION ALL SELECT 'outdated_stats', count(*) FROM stats s JOIN document_token_stats g USING (document_id) WHERE s.article_count <> g.article_count UNION ALL SELECT 'leaked_train_validation', shared FROM ({LEAKS}) WHERE left_split = 'train' AND right_split = 'validation'""",

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import tokens as K
 from ..functions.sequences import chunked_lcs_f1_udf
+from ..functions.tokenizers import BatchTokenizer
 from ..operators import checks as C
 from ..operators import evaluation as E
+from ..operators import prepare as P
 from ..operators import selection as S
 from ..operators import stats as A
 from ..operators.fields import split_field
+from ..operators.prefix import running_total
 from ..sources.tables import keep, table, texts
 from ..streaming import metrics as M
 from .oracles import ORACLE
@@ -21,6 +24,13 @@ LIMIT = 500  # of first_selected, an operator that stops at a number of rows
 CONTEXT, STRIDE = 512, 128
 
 
+def _codes():
+    return lambda rows: [list(map(ord, t)) for t in rows]
+
+
+CODES = BatchTokenizer("codes", _codes, eos=ord("."))
+
+
 def _stats(spark: SparkSession, folder: str) -> DataFrame:
     return A.document_stats(texts(spark, folder, "documents"), "doc_id", "text")
 
@@ -50,6 +60,16 @@ def group_summary_sets(spark, folder):
     return _grouped(spark, folder, ["lang", "source"])
 
 
+def document_stats_codes(spark, folder):
+    """Statistics under another tokenizer, plugged in: a token for each character; texts that end in a full stop have their end mark."""
+    return A.document_stats(texts(spark, folder, "documents"), "doc_id", "text", tokenizer=CODES)
+
+
+def document_stats_given(spark, folder):
+    """Statistics with the delivered token counts where there are any."""
+    return A.with_token_counts(_stats(spark, folder), table(spark, folder, "document_token_stats"))
+
+
 def chunk_plan(spark, folder):
     return A.chunk_plans(_stats(spark, folder))
 
@@ -131,6 +151,22 @@ def html_clean_tree(spark, folder):
     return _cleaned(spark, folder, True)
 
 
+def _pages(spark, folder):
+    """Each document as a page: a title, a script, and its lines in turn as a paragraph, as a block with a break and as a row of cells."""
+    line = lambda x, i: F.when(i % 3 == 0, F.concat(F.lit('<p class="x">'), x, F.lit("</p>"))).when(i % 3 == 1, F.concat(F.lit("<DIV>"), x, F.lit("<br/>"), x, F.lit("</DIV>"))).otherwise(F.concat(F.lit("<table><tr><td>"), x, F.lit("</td><th>"), i.cast("string"), F.lit("</th></tr></table>")))
+    body = F.array_join(F.transform(F.split("text", "\n"), line), "")
+    page = F.concat(F.lit("<!DOCTYPE html><html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title></head><body><script>if (a<b) {}</script>"), body, F.lit("<style>p {}</style></body></html>"))
+    return texts(spark, folder, "documents").select("doc_id", page.alias("page"))
+
+
+def html_pages_tree(spark, folder):
+    return _pages(spark, folder).select("doc_id", T.looks_like_html(F.col("page")).alias("is_html"), T.clean_html(F.col("page"), "auto", True).alias("clean"))
+
+
+def html_pages_regex(spark, folder):
+    return _pages(spark, folder).select("doc_id", T.looks_like_html(F.col("page")).alias("is_html"), T.clean_html(F.col("page"), "auto", False).alias("clean"))
+
+
 def _pairs(spark, folder):
     """Each text as the reference of the next one.
 
@@ -151,8 +187,13 @@ def continuation_scores(spark, folder):
 
 
 def generation_means(spark, folder):
-    rows = E.continuation_metrics(_pairs(spark, folder), "reference", "prediction").withColumn("length_ratio", F.length("prediction") / F.greatest(F.lit(1), F.length("reference")))
-    return E.generation_means(rows, [], SCORES, ["length_ratio"]).select("num_generation_documents", *[F.round(f"{c}_percent", 6).alias(f"{c}_percent") for c in SCORES], F.round("average_length_ratio", 6).alias("average_length_ratio"))
+    rows = E.continuation_metrics(_pairs(spark, folder), "reference", "prediction")
+    rows = rows.withColumns({
+        "length_ratio": F.length("prediction") / F.greatest(F.lit(1), F.length("reference")), "reference_tokens": T.count_words(F.col("reference")), "generated_tokens": T.count_words(F.col("prediction")),
+        "ended_with_eos": F.col("prediction").endswith("."), "generation_seconds": F.length("prediction") / F.lit(64.0),
+    })
+    out = E.generation_means(rows, [], SCORES, ["length_ratio", "reference_tokens", "generated_tokens", "generation_seconds"], {"ended_with_eos": "eos_rate_percent"}, ["generation_seconds"])
+    return out.select("num_generation_documents", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 
 
 def rouge_l_chunked(spark, folder):
@@ -165,11 +206,11 @@ def corpus_ngram_overlaps(spark, folder):
 
 
 def corpus_bleu(spark, folder):
-    return E.corpus_bleu(corpus_ngram_overlaps(spark, folder)).select(F.round("bleu", 6).alias("bleu"))
+    return E.corpus_bleu(E.corpus_overlaps(_pairs(spark, folder), "reference", "prediction", 0, 4)).select(F.round("bleu", 6).alias("bleu"))
 
 
 def corpus_chrf(spark, folder):
-    return E.corpus_chrf(corpus_ngram_overlaps(spark, folder)).select(F.round("chrf_plus_plus", 6).alias("chrf_plus_plus"))
+    return E.corpus_chrf(E.corpus_overlaps(_pairs(spark, folder), "reference", "prediction", E.CHAR_ORDERS, E.WORD_ORDERS)).select(F.round("chrf_plus_plus", 6).alias("chrf_plus_plus"))
 
 
 def score_windows(spark, folder):
@@ -177,35 +218,63 @@ def score_windows(spark, folder):
     return rows.select("document_id", F.explode(K.score_windows(F.col("t"), CONTEXT, STRIDE)).alias("w")).select("document_id", "w.*")
 
 
-def _scored(spark, folder):
-    rows = texts(spark, folder, "prepared").select("source_index", "split", T.words(T.metric_text(F.col("text"))).alias("tokens"))
-    rows = keep(rows, "lm-words")
-    return E.bigram_scores(rows.where("split = 'train'"), rows.where("split in ('validation', 'test')"), "source_index", "tokens")
+def _records(spark, folder):
+    """The events as records of scored texts: each type a model, its value a loss, the day a step."""
+    e = table(spark, folder, "events").where("value is not null")
+    n = F.pmod("event_id", F.lit(7)) + 1
+    hit = lambda k: F.least(n, F.pmod("event_id", F.lit(k)))
+    return e.select("event_id", F.col("event_type").alias("model"), F.datediff("ts", F.lit("1970-01-01")).alias("step"), F.col("value").alias("nll_sum"), n.alias("scored"), hit(3).alias("top1"), hit(5).alias("top5"))
 
 
 def lm_metrics(spark, folder):
-    rows = E.token_metrics(_scored(spark, folder), ["model"])
+    rows = E.token_metrics(_records(spark, folder), ["model"])
     return rows.select("model", "num_documents", "full_document_scored_tokens", *[F.round(c, 6).alias(c) for c in rows.columns[3:]])
 
 
 def model_comparison(spark, folder):
-    rows = keep(E.token_metrics(_scored(spark, folder), ["model"]), "lm-metrics")
+    rows = keep(E.token_metrics(_records(spark, folder), ["model"]), "lm-metrics")
     of = lambda m: rows.where(F.col("model") == m).drop("model")
-    out = E.compare_models(of("words"), of("pairs"))
+    out = E.compare_models(of("view"), of("click"))
     return out.select("metric", *[F.round(c, 6).alias(c) for c in ("base", "finetuned", "delta_finetuned_minus_base", "improvement")], "higher_is_better")
 
 
 def progressive_loss(spark, folder):
-    rows = _scored(spark, folder).where("model = 'pairs'").select("source_index", "nll_sum", "scored")
-    return E.progressive(keep(rows, "lm-pairs"), "source_index").select("source_index", F.round("nll_so_far", 6).alias("nll_so_far"), "tokens_so_far")
+    rows = _records(spark, folder).where("model = 'view'").select("event_id", "nll_sum", "scored")
+    return E.progressive(rows, "event_id").select("event_id", F.round("nll_so_far", 6).alias("nll_so_far"), "tokens_so_far")
+
+
+def loss_perplexities(spark, folder):
+    """Mean losses of each model as named metrics, with their perplexities."""
+    m = _records(spark, folder).groupBy("model").agg((F.sum("nll_sum") / F.sum("scored")).alias("l"), F.max("nll_sum").alias("most"))
+    named = F.array(F.struct(F.concat("model", F.lit("_token_nll")).alias("metric"), F.col("l").alias("value")), F.struct(F.concat("model", F.lit("_worst_loss")).alias("metric"), F.col("most").alias("value")), F.struct(F.concat("model", F.lit("_accuracy")).alias("metric"), F.lit(0.5).alias("value")))
+    return E.loss_perplexities(m.select(F.explode(named).alias("x")).select("x.*")).select("metric", F.round("value", 4).alias("value"))
+
+
+def best_checkpoints(spark, folder):
+    """Of each minute as a step, with its mean loss: the steps that are kept."""
+    steps = table(spark, folder, "events").groupBy(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60).alias("step")).agg(F.avg("value").alias("eval_token_nll"))
+    return E.best_checkpoints(steps)
+
+
+def logit_metrics(spark, folder):
+    """Each vector as the logits of one position, its label as the next token."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("token", "logit"))
+    return E.logit_metrics(rows, ["vec_id"], "token", "logit", "label").select("vec_id", F.round("nll", 5).alias("nll"), "top1", "top5")
+
+
+BATCH = 4
 
 
 def pad_and_mask(spark, folder):
+    """Batches of the texts in order, each padded to its longest, rounded up to a multiple of eight."""
     lengths = F.transform(T.words(F.lower("text")), lambda w: F.length(w))
     rows = table(spark, folder, "eval_passages").select(F.col("item_id").alias("id"), "text").unionByName(texts(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"))
-    rows = rows.where("text is not null").select("id", K.append_eos(lengths, F.lit(0)).alias("ids"))
-    ids, mask, labels = K.padded(F.col("ids"), 8, F.size("ids"), 0)
-    return rows.select("id", F.array_join(ids, " ").alias("input_ids"), F.array_join(mask, " ").alias("attention_mask"), F.array_join(labels, " ").alias("labels"))
+    rows = keep(rows.where("text is not null").select("id", K.append_eos(lengths, F.lit(0)).alias("ids")), "token-ids")
+    batch = running_total(rows.select("id", F.size("ids").alias("n")), [], ["id"], F.lit(1), "place").withColumn("batch", F.floor((F.col("place") - 1) / BATCH))
+    longest = batch.groupBy("batch").agg(F.max("n").alias("longest"))
+    rows = rows.join(batch.select("id", "batch"), "id").join(longest, "batch")
+    ids, mask, labels = K.padded(F.col("ids"), 8, F.col("longest"), 0)
+    return rows.select("id", "batch", F.array_join(ids, " ").alias("input_ids"), F.array_join(mask, " ").alias("attention_mask"), F.array_join(labels, " ").alias("labels"))
 
 
 def training_step_plan(spark, folder):
@@ -237,7 +306,7 @@ def data_checks(spark, folder):
     ids = given.select("document_id").where("document_id is not null").distinct()
     rules = {
         "empty_text": ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)), "over_context": F.col("tokens_with_eos") > S.MAX_SEQ - S.RESERVED, "no_end_mark": F.col("tokens_with_eos") != F.col("tokens_without_eos") + 1,
-        "wrong_length": F.length("text") != F.col("num_chars"),
+        "wrong_length": F.length("text") != F.col("num_chars"), "changed_length": F.length(T.clean_html(F.col("text"))) != F.col("num_chars"),
     }
     return C.together(
         C.count_where(prepared, rules), C.count_rows("repeated_source_index", C.repeated(prepared, "source_index")), C.count_rows("repeated_stats", C.repeated(given, "document_id")),
@@ -248,20 +317,45 @@ def data_checks(spark, folder):
     )
 
 
+def _prepared(spark, folder):
+    documents = texts(spark, folder, "documents")
+    stats = keep(A.document_stats(documents, "doc_id", "text"), "stats")
+    threshold = S.p95_threshold(stats)
+    rows = keep(P.prepared_rows(documents, "doc_id", "text", stats, threshold, S.MAX_SEQ - S.RESERVED), "prepared")
+    return documents, stats, threshold, rows
+
+
+def prepared_documents(spark, folder):
+    """The prepared corpus: selected documents, cleaned, with their split."""
+    rows = _prepared(spark, folder)[3]
+    return S.seeded_split(rows, "document_id").select("document_id", "chunk_id", "chunk_type", "source_index", "num_chars", "tokens_with_eos", F.md5("text").alias("text_md5"), "split")
+
+
+def preparation_checks(spark, folder):
+    documents, stats, threshold, rows = _prepared(spark, folder)
+    return P.preparation_checks(rows, stats, documents, "doc_id", min(threshold, S.MAX_SEQ - S.RESERVED))
+
+
+def preparation_manifest(spark, folder):
+    """The figures of a manifest: those of the selection and of each split, as names and numbers."""
+    _, stats, threshold, rows = _prepared(spark, folder)
+    counters = S.selection_counters(S.selection_reasons(stats, threshold, S.MAX_SEQ - S.RESERVED)).withColumn("p95_threshold", F.lit(threshold))
+    splits = S.split_summary(S.seeded_split(rows, "document_id"))
+    figures = lambda df, first, names: df.select(F.explode(F.array(*[F.struct(F.concat(first, F.lit(n)).alias("figure"), F.col(n).cast("double").alias("value")) for n in names])).alias("x")).select("x.*")
+    return figures(counters, F.lit(""), counters.columns).unionByName(figures(splits, F.concat("split", F.lit(".")), splits.columns[1:]))
+
+
 def dataset_fingerprint(spark, folder):
     documents = table(spark, folder, "documents")
     return S.fingerprint(documents.select("doc_id", "text", "lang", "source"), ["doc_id", "text", "lang", "source"])
 
 
 def _event_stream(spark, folder):
+    """The events as a stream of files: those of the folder, or the only one."""
     path = f"{folder}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path if _is_folder(spark, path) else f"{folder}/event[s].parquet")
-
-
-def _is_folder(spark, path):
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+    events = spark.read.parquet(path)
+    folders = any(not f.rstrip("/").endswith("events.parquet") for f in events.inputFiles())
+    return spark.readStream.schema(events.schema).parquet(path if folders else f"{folder}/event[s].parquet")
 
 
 def streaming_metrics(spark, folder):
@@ -298,9 +392,9 @@ def p2_value_report(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        document_stats, corpus_summary, group_summary_lang, group_summary_source, group_summary_sets, chunk_plan, recommended_plan, longest_documents, metadata_join_last_wins, metadata_group_summary,
-        selection_reasons, selection_counters, selection_limit_n, seeded_split, seeded_split_summary, split_summary, split_leakage, shared_train_validation, structure_counts, html_clean_regex, html_clean_tree,
-        continuation_scores, generation_means, rouge_l_chunked, corpus_ngram_overlaps, corpus_bleu, corpus_chrf, score_windows, lm_metrics, model_comparison, progressive_loss, pad_and_mask, training_step_plan,
+        document_stats, corpus_summary, group_summary_lang, group_summary_source, group_summary_sets, document_stats_codes, document_stats_given, chunk_plan, recommended_plan, longest_documents, metadata_join_last_wins, metadata_group_summary,
+        selection_reasons, selection_counters, selection_limit_n, seeded_split, seeded_split_summary, split_summary, split_leakage, shared_train_validation, structure_counts, html_clean_regex, html_clean_tree, html_pages_regex, html_pages_tree, prepared_documents, preparation_checks, preparation_manifest,
+        continuation_scores, generation_means, rouge_l_chunked, corpus_ngram_overlaps, corpus_bleu, corpus_chrf, score_windows, lm_metrics, model_comparison, progressive_loss, loss_perplexities, best_checkpoints, logit_metrics, pad_and_mask, training_step_plan,
         evaluation_candidates, evaluation_selection, evaluation_skips, tokenized_stats, data_checks, dataset_fingerprint, streaming_metrics, streaming_windows, p2_found, p2_value_report,
     )
 }

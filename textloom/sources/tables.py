@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,9 +29,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a new local one."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a new local one if Spark runs in this process (tests), else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_textloom_folder", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = spark._textloom_folder = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -44,4 +47,15 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/textloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._textloom_kept = [*getattr(spark, "_textloom_kept", []), path]
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> int:
+    """Deletes what ``keep`` has written in this session, once its results are no longer read; how many tables that were."""
+    kept = getattr(spark, "_textloom_kept", [])
+    for path in kept:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spark._textloom_kept = []
+    return len(kept)
