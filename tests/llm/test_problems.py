@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from oracle import FOLDER, compare
 from pyspark.sql import functions as F
 
-from textloom.llm import difficulty, fold, leaks, mixing, overlap, packing, queries, splits, tokens
+from textloom.llm import difficulty, fold, language, leaks, mixing, overlap, packing, pieces, queries, splits, tokens
 
 rng = random.Random(7)
 VOCABULARY = [f"tu{i}" for i in range(400)]
@@ -235,11 +235,11 @@ TEXTS = ["don't 'tis we'll  x's ''s \n\n 'll\tA1b2 — … ½²x  ", "", "   ",
 def test_pieces_are_those_of_the_pattern(texts):
     import regex
 
-    p = tokens.Pieces(texts)
+    p = pieces.Pieces(texts)
     got = [[] for _ in texts]
     for i in range(len(p.start)):
         got[p.row[i]].append(p.text(i))
-    assert got == [regex.findall(tokens.PATTERN, t) for t in texts]
+    assert got == [regex.findall(pieces.PATTERN, t) for t in texts]
 
 
 @pytest.mark.parametrize("head", [0, 3, 1 << 16])
@@ -425,3 +425,18 @@ def test_edges_of_more_than_two_bytes():
 @pytest.mark.parametrize("name", sorted(set(queries.ORACLE) - {"p4_found"}))
 def test_checks_like_sql(spark, name):
     compare(spark, name, queries.QUERIES[name], queries.ORACLE[name], "/root/testdata/sf0.01")
+
+
+def test_languages(spark):
+    other = [f"word{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choice(other if i % 4 == 0 else VOCABULARY) for _ in range(30)), ("en" if i % 4 == 0 else "vi") if i < 200 else None) for i in range(260)] + [(900, None, None), (901, "", None), (902, "lạ hoắc", None)]
+    df = spark.createDataFrame(rows, "k long, t string, lang string")
+    known = language.profile(df, "k", "t", F.col("lang"))
+    assert known.names == ["vi", "en"]
+    want = {i: "en" if i % 4 == 0 else "vi" for i in range(260)} | {901: "vi", 902: "vi"}
+    got = {r["k"]: r["g"] for r in df.select("k", language.language(F.col("lang"), F.col("t"), known).alias("g")).collect()}
+    assert got == want | {900: None}
+    by_pieces = {r["id"]: r["lang"] for r in tokens.token_counts(df, "k", "t", languages=known).collect()}
+    assert by_pieces == {i: "en" if i % 4 == 0 else "vi" for i in range(260)} | {900: "vi", 901: "vi", 902: "vi"}
+    none = language.profile(df.where("k > 500"), "k", "t", F.col("lang"))
+    assert none.names == [] and df.select(language.language(F.col("lang"), F.col("t"), none).alias("g")).where("g is null").count() == 63

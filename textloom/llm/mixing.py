@@ -25,7 +25,8 @@ def mix_sources(texts: DataFrame, targets: DataFrame, total: float | None = None
     sources are left out; a source without texts gets nothing and doesn't limit the others.
     """
     goals = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    sized = texts.select("id", "source", "tokens").where("tokens > 0").join(F.broadcast(goals), "source").select("id", "source", "tokens")  # as many goals as sources that have one
+    sized = texts.select("id", "source", "tokens").where("tokens > 0").join(F.broadcast(goals), "source").select("id", "source", "tokens")
+    sized = keep(sized, "mix-sized")  # read several times below
     have = sized.groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum("tokens").alias("available"), F.max("tokens").alias("longest"))
     plan = keep(goals.join(have, "source", "left"), "mix-plan")
     limit = plan.agg(F.min(F.col("available") * F.col("max_repeats") / F.col("target_share"))).first()[0]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import keep, table, texts
 from ..operators.components import shared_components
 from .difficulty import reading_levels
+from .language import language, profile
 from .leaks import find_leaks
 from .overlap import overlap_classes, overlap_rows
 from .mixing import mix_sources
@@ -106,10 +107,14 @@ def p6_leak_report(spark: SparkSession, folder: str) -> DataFrame:
     return items.join(per, "item_id", "left").select("item_id", "subject", "split", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("whole", F.lit(0)).alias("whole"), "best_share")
 
 
-def _language():
-    """The delivered language, or where that is missing whether common English words stand in the text."""
-    given = F.lower(F.substring("lang", 1, 2))
-    return F.when(given.isin("vi", "en"), given).when(F.col("text").rlike(r"(?i)\b(?:of|shall|must|will)\b"), "en").otherwise("vi")
+def _given_language():
+    """The delivered language in its short form, NULL where that is missing or blank."""
+    low = F.substring(F.lower(F.trim("lang")), 1, 2)
+    return F.when(low.rlike("^[a-z]{2}$"), low)
+
+
+def _languages(spark: SparkSession, folder: str):
+    return profile(table(spark, folder, "documents"), "doc_id", "text", _given_language())
 
 
 def _latest_metadata(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,7 +132,8 @@ def _stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def _document_tokens(spark: SparkSession, folder: str) -> DataFrame:
     documents = texts(spark, folder, "documents")
-    counts = token_counts(documents, "doc_id", "text").join(documents.select(F.col("doc_id").alias("id"), F.length("text").alias("n_chars"), _language().alias("part")), "id")
+    more = documents.select(F.col("doc_id").alias("id"), F.length("text").alias("n_chars"), _given_language().alias("given"))
+    counts = token_counts(documents, "doc_id", "text", languages=_languages(spark, folder)).join(more, "id").withColumn("part", F.coalesce("given", "lang")).drop("given", "lang")
     given = _stats(spark, folder).select("id", F.col("tokens_with_eos").alias("with_eos"), F.col("tokens_without_eos").alias("without_eos"), F.col("num_chars").alias("given_chars"))
     return budget_tokens(counts, given)
 
@@ -165,7 +171,7 @@ def _source_texts(spark: SparkSession, folder: str) -> DataFrame:
     once = named.groupBy("same").agg(F.min(F.struct(F.col("target").isNull().alias("other"), "doc_id", "source")).alias("d"))
     once = keep(once.select(F.col("d.doc_id").alias("id"), F.col("d.source").alias("source")), "mix-texts")
     counts = token_counts(documents, "doc_id", "text")
-    return once.join(counts, "id")
+    return once.join(counts.select("id", "tokens"), "id")
 
 
 def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
@@ -181,8 +187,8 @@ def p7_mixture_report(spark: SparkSession, folder: str) -> DataFrame:
 def _train_lengths(spark: SparkSession, folder: str) -> DataFrame:
     """(id, length) of the train records: tokens_with_eos, or an estimate from the text where that is missing or wrong."""
     train = texts(spark, folder, "prepared").where("split = 'train'")
-    lang = F.when(F.col("text").rlike(r"(?i)\b(?:of|shall|must|will)\b"), "en").otherwise("vi")
-    counts = token_counts(train, "source_index", "text").join(train.select(F.col("source_index").alias("id"), F.length("text").alias("n_chars"), lang.alias("part")), "id")
+    counts = token_counts(train, "source_index", "text", languages=_languages(spark, folder)).withColumnRenamed("lang", "part")
+    counts = counts.join(train.select(F.col("source_index").alias("id"), F.length("text").alias("n_chars")), "id")
     given = train.select(F.col("source_index").alias("id"), F.col("tokens_with_eos").alias("with_eos"), F.col("tokens_without_eos").alias("without_eos"), F.col("num_chars").alias("given_chars"))
     return budget_tokens(counts, given).select("id", F.col("with_eos").alias("length"))
 
@@ -239,7 +245,7 @@ def p7_checks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    levels = reading_levels(texts(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "reading_labels"), "reading_level", _language())
+    levels = reading_levels(texts(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "reading_labels"), "reading_level", language(_given_language(), F.col("text"), _languages(spark, folder)))
     return levels.select(F.col("id").alias("doc_id"), "reading_level")
 
 

@@ -10,7 +10,6 @@ the tasks; rarer pieces are joined over a shuffle.  Both ways are exact.
 from __future__ import annotations
 
 import base64
-import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,89 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import keep
-from .fold import mix
 from .overlap import slices
+from .language import Profile
+from .pieces import PATTERN, Pieces
 
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 HEAD = 1 << 18
-#: Fixed value: how the tokenizer splits text before it merges bytes.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_CONTRACTION = re.compile(r"'(?:[stmd]|re|ve|ll)")
-LETTER, DIGIT, BLANK, OTHER = 1, 2, 3, 4
-
-
-def _kind(c: int) -> int:
-    ch = chr(c)
-    kind = unicodedata.category(ch)
-    if ch.isspace():
-        return BLANK
-    return LETTER if kind[0] == "L" else DIGIT if kind[0] == "N" else OTHER
-
-
-@lru_cache(maxsize=1)
-def _kinds() -> np.ndarray:
-    return np.array([_kind(c) for c in range(1 << 16)], dtype=np.uint8)
-
-
-@lru_cache(maxsize=1)
-def _powers() -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full((1 << 16) - 1, np.uint64(0x100000001B3)))])
-
-
-class Pieces:
-    """The pieces of a batch of texts: code points, start and end of each piece, its row, its hash."""
-
-    def __init__(self, texts: list[str | None]):
-        texts = [t or "" for t in texts]
-        odd = [i for i, t in enumerate(texts) if "'" in t and _CONTRACTION.search(t)]
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        begin = np.concatenate(([0], np.cumsum(sizes)))
-        starts = self._starts(begin)
-        if odd:  # English contractions are split by the pattern itself
-            import regex
-
-            pattern = regex.compile(PATTERN)
-            inside = np.zeros(self.codes.size, dtype=bool)
-            inside[starts] = True
-            for i in odd:
-                inside[begin[i] : begin[i + 1]] = False
-                inside[[begin[i] + m.start() for m in pattern.finditer(texts[i])]] = True
-            starts = np.flatnonzero(inside)
-        self.start, self.end = starts, np.append(starts[1:], self.codes.size) if starts.size else starts
-        self.row = np.searchsorted(begin, starts, side="right") - 1
-        self.hash = self._hashes()
-
-    def _starts(self, begin: np.ndarray) -> np.ndarray:
-        codes, n = self.codes, self.codes.size
-        if not n:
-            return np.zeros(0, np.int64)
-        kind = _kinds()[np.minimum(codes, 0xFFFF)]
-        for i in np.flatnonzero(codes > 0xFFFF).tolist():
-            kind[i] = _kind(int(codes[i]))
-        first = np.zeros(n + 1, dtype=bool)
-        first[begin] = True  # a text begins
-        edge = first[:n].copy()
-        edge[1:] |= kind[1:] != kind[:-1]
-        # the last blank before other characters: a space joins them, another one is a piece
-        last = np.zeros(n, dtype=bool)
-        last[:-1] = (kind[:-1] == BLANK) & (kind[1:] != BLANK) & ~first[1:n]
-        begins = edge | last
-        joins = np.flatnonzero(last & (codes == 32)) + 1
-        begins[joins] = False
-        return np.flatnonzero(begins)
-
-    def _hashes(self) -> np.ndarray:
-        if not self.start.size:
-            return np.zeros(0, np.uint64)
-        sizes = self.end - self.start
-        place = (np.arange(self.codes.size) - np.repeat(self.start, sizes)) & 0xFFFF
-        with np.errstate(over="ignore"):
-            return mix(np.add.reduceat((self.codes.astype(np.uint64) + np.uint64(1)) * _powers()[place], self.start) + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-    def text(self, i: int) -> str:
-        return self.codes[self.start[i] : self.end[i]].tobytes().decode("utf-32-le", "surrogatepass")
 
 
 @lru_cache(maxsize=2)
@@ -160,7 +82,7 @@ def piece_lengths(split: DataFrame, ranks: str = RANKS) -> DataFrame:
 
 def _counted(head):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, lengths = head.value
+        known, lengths, languages = head.value
         for batch in batches:
             ids, packed = batch.column(0), batch.column(1).to_pylist()
             sizes = np.fromiter((len(x) // 8 for x in packed), np.int64, len(packed))
@@ -171,16 +93,19 @@ def _counted(head):
             place[place == known.size] = 0
             found = known[place] == hashes if known.size else np.zeros(hashes.size, bool)
             total = np.bincount(row[found], lengths[place[found]] * counts[found], sizes.size).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.nulls(sizes.size, pa.int64()), pa.array(total)], ["id", "hash", "n"])
+            lang = languages.best(row, hashes, counts, sizes.size) if languages else [None] * sizes.size
+            yield pa.RecordBatch.from_arrays([ids, pa.nulls(sizes.size, pa.int64()), pa.array(total), pa.array(lang, pa.string())], ["id", "hash", "n", "lang"])
             rare = np.flatnonzero(~found)
             if rare.size:
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[rare])), pa.array(hashes[rare]), pa.array(counts[rare])], ["id", "hash", "n"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[rare])), pa.array(hashes[rare]), pa.array(counts[rare]), pa.nulls(rare.size, pa.string())], ["id", "hash", "n", "lang"])
 
     return count
 
 
-def token_counts(df: DataFrame, id_column: str, text_column: str, ranks: str = RANKS, head: int = HEAD) -> DataFrame:
-    """(id, tokens): tokens of each text, without any end mark.  NULL and empty texts have 0.
+def token_counts(df: DataFrame, id_column: str, text_column: str, ranks: str = RANKS, head: int = HEAD, languages: Profile | None = None) -> DataFrame:
+    """(id, tokens, lang): tokens of each text, without any end mark.  NULL and empty texts have 0.
+
+    ``lang`` is the likeliest of ``languages`` by the text's pieces, NULL where none are given.
 
     ``id_column`` is a unique whole number.  ``ranks`` is a file of merge ranks that every executor can
     read; it is never copied.  Pieces that make up at least one in ``head`` of all, so at most ``head`` of them, are
@@ -192,11 +117,11 @@ def token_counts(df: DataFrame, id_column: str, text_column: str, ranks: str = R
     total = lengths.agg(F.sum("n")).first()[0] or 0
     often = lengths.where(F.col("n") * F.lit(head) >= F.lit(total)) if head else lengths.limit(0)
     top = often.select("hash", "tokens").toPandas().sort_values("hash")  # at most head rows, as their frequencies sum up to the total
-    known = spark.sparkContext.broadcast((top["hash"].to_numpy(np.int64), top["tokens"].to_numpy(np.int64)))
-    counted = split.where(F.col("hashes").isNotNull()).select("id", "hashes", "counts").mapInArrow(_counted(known), "id long, hash long, n long")
+    known = spark.sparkContext.broadcast((top["hash"].to_numpy(np.int64), top["tokens"].to_numpy(np.int64), languages))
+    counted = split.where(F.col("hashes").isNotNull()).select("id", "hashes", "counts").mapInArrow(_counted(known), "id long, hash long, n long, lang string")
     counted = keep(counted, "piece-counts")
-    rare = counted.where(F.col("hash").isNotNull()).join(lengths.select("hash", "tokens"), "hash").select("id", (F.col("n") * F.col("tokens")).alias("n"))
-    return counted.where(F.col("hash").isNull()).select("id", "n").unionByName(rare).groupBy("id").agg(F.sum("n").alias("tokens"))
+    rare = counted.where(F.col("hash").isNotNull()).join(lengths.select("hash", "tokens"), "hash").select("id", (F.col("n") * F.col("tokens")).alias("n"), "lang")
+    return counted.where(F.col("hash").isNull()).select("id", "n", "lang").unionByName(rare).groupBy("id").agg(F.sum("n").alias("tokens"), F.max("lang").alias("lang"))
 
 
 def budget_tokens(counts: DataFrame, given: DataFrame, low: float = 0.6, high: float = 1.6) -> DataFrame:
