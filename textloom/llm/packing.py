@@ -1,6 +1,7 @@
 """Problem 3: filling sequences of fixed capacity with records, by non-negative least squares.
 
-Only the histogram of lengths, at most as many numbers as the capacity, is looked at in one place.  For
+Only the histogram of lengths, at most as many numbers as the capacity, is looked at in one place, a task for
+each capacity.  For
 windows of growing size up to the capacity, shallow combinations of lengths that fill the window are
 enumerated, their repeat counts are solved by non-negative least squares against the histogram and
 rounded down, and filled windows become items of the next size.  What is left is packed greedily: the longest
@@ -15,6 +16,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,6 +181,23 @@ def sequence_types(histogram: dict[int, int], capacity: int, cells: int = CELLS,
     return sorted((kind, n) for kinds in opened.values() for kind, n in kinds.items())
 
 
+def _slots(cells: int, depth: int):
+    """Of a capacity's histogram: for each length, the ranks that go to a type of sequence, and the type's first sequence."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        capacity = int(pdf["capacity"].iloc[0])
+        taken: Counter = Counter()
+        first, out = 0, []
+        for kind, n in sequence_types(dict(zip(pdf["length"].tolist(), pdf["n"].tolist())), capacity, cells, depth):
+            for length, k in sorted(Counter(kind).items()):
+                out.append((capacity, length, taken[length], k, first))
+                taken[length] += k * n
+            first += n
+        return pd.DataFrame(out, columns=["capacity", "length", "start", "k", "first"])
+
+    return solve
+
+
 def packed(lengths: DataFrame, capacities: list[int], cells: int = CELLS, depth: int = DEPTH) -> DataFrame:
     """(capacity, sequence, id, piece, length): for each capacity, the sequence of each record (id, length).
 
@@ -192,19 +211,11 @@ def packed(lengths: DataFrame, capacities: list[int], cells: int = CELLS, depth:
     pieces = each.select("id", "capacity", "_all", F.explode(F.sequence(F.lit(0), F.floor((F.col("_all") - 1) / F.col("capacity")).cast("int"))).alias("piece"))
     pieces = pieces.select("id", "capacity", "piece", F.least(F.col("capacity"), F.col("_all") - F.col("piece") * F.col("capacity")).cast("int").alias("length"))
     ranked = running_total(pieces, ["capacity", "length"], ["id", "piece"], F.lit(1), "rank")
-    histograms: dict[int, dict[int, int]] = defaultdict(dict)
-    for r in pieces.groupBy("capacity", "length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most as many as the capacities' sum
-        histograms[r["capacity"]][r["length"]] = r["n"]
-    # slots: for each length, the ranks that go to a type, and the type's first sequence
+    histogram = pieces.groupBy("capacity", "length").agg(F.count(F.lit(1)).alias("n"))  # for each capacity at most as many rows as that
+    made = histogram.groupBy("capacity").applyInPandas(_slots(cells, depth), "capacity int, length int, start long, k int, first long")
     slots: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-    for capacity, histogram in histograms.items():
-        taken: Counter = Counter()
-        first = 0
-        for kind, n in sequence_types(histogram, capacity, cells, depth):
-            for length, k in sorted(Counter(kind).items()):
-                slots[capacity, length].append((taken[length], k, first))
-                taken[length] += k * n
-            first += n
+    for r in made.orderBy("capacity", "length", "start").collect():  # bounded by the capacities, not by the records
+        slots[r["capacity"], r["length"]].append((r["start"], r["k"], r["first"]))
     tables = spark.sparkContext.broadcast({k: tuple(np.array(x, dtype=np.int64) for x in zip(*v)) for k, v in slots.items()})
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

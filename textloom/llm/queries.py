@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import keep, table, texts
-from ..operators.components import shared_components
 from .difficulty import reading_levels
 from .language import language, profile
 from .leaks import find_leaks
@@ -72,9 +71,10 @@ def _keys() -> list:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the entities that the new split keeps together, the records of those that the delivered one separates."""
     prepared = table(spark, folder, "prepared")
-    rows = shared_components(prepared, "source_index", _keys(), tag=False).join(prepared.select(F.col("source_index").alias("id"), "split"), "id")
-    return separated(rows).select(F.col("id").alias("source_index"))
+    new = group_splits(prepared, "source_index", _keys(), table(spark, folder, "split_targets"), tag=False)
+    return separated(new.join(prepared.select(F.col("source_index").alias("id"), "split"), "id")).select(F.col("id").alias("source_index"))
 
 
 def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
