@@ -160,11 +160,11 @@ def _pages(spark, folder):
 
 
 def html_pages_tree(spark, folder):
-    return _pages(spark, folder).select("doc_id", T.looks_like_html(F.col("page")).alias("is_html"), T.clean_html(F.col("page"), "auto", True).alias("clean"))
+    return _pages(spark, folder).select("doc_id", F.coalesce(T.looks_like_html(F.col("page")), F.lit(False)).alias("is_html"), T.clean_html(F.col("page"), "auto", True).alias("clean"))
 
 
 def html_pages_regex(spark, folder):
-    return _pages(spark, folder).select("doc_id", T.looks_like_html(F.col("page")).alias("is_html"), T.clean_html(F.col("page"), "auto", False).alias("clean"))
+    return _pages(spark, folder).select("doc_id", F.coalesce(T.looks_like_html(F.col("page")), F.lit(False)).alias("is_html"), T.clean_html(F.col("page"), "auto", False).alias("clean"))
 
 
 def _pairs(spark, folder):
