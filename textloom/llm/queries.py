@@ -9,7 +9,7 @@ from ..sources.tables import keep, table, texts
 from .difficulty import reading_levels
 from .language import language, profile
 from .leaks import find_leaks
-from .overlap import overlap_classes, overlap_rows
+from .overlap import overlap_classes, overlap_rows, text_classes
 from .mixing import mix_sources
 from .packing import packed, packing_report
 from .tokens import budget_tokens, piece_lengths, spelled_alike, split_pieces, token_counts, written_out
@@ -62,7 +62,8 @@ def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_members(spark: SparkSession, folder: str) -> DataFrame:
-    _, members, _ = _overlap(spark, folder)
+    """The class of equal texts of each record of enough words."""
+    members = text_classes(texts(spark, folder, "prepared"), "source_index", "text", F.col("split") == "train")[2]
     return members.select(F.col("id").alias("source_index"), "class", "n_words", "in_train")
 
 
