@@ -24,7 +24,7 @@ from ..sources.tables import keep
 from .fold import fold, grams
 from .overlap import slices
 
-NODES, ROUNDS, SETTLED, MIN_WORDS, SEGMENTS, SPREAD, DOUBT, PRIOR, SCALES, FAR = 1 << 16, 30, 0.001, 50, 16, 512, 20.0, 30, 64, 0.75
+NODES, ROUNDS, SETTLED, MIN_WORDS, SEGMENTS, SPREAD, DOUBT, PRIOR, SCALES, FAR = 1 << 16, 30, 0.001, 50, 16, 512, 20.0, 2, 64, 0.75
 #: A row of a table, and an entry of a list that ends in a figure.
 _TABLE = re.compile(r"^[^\n|]*\|[^\n|]*\|[^\n]*$", re.M)
 _ENTRY = re.compile(r"^[ \t]*(?:\(?\d+[.)]|[-–+•*])?[^\n]{0,160}?[:\t–-][ \t]*\d[\d., ]*[ \t]*$", re.M)
