@@ -75,7 +75,9 @@ def _edges(nodes: int, min_words: int):
                 picked = np.flatnonzero(enough)
                 yield pa.RecordBatch.from_arrays([
                     ids.take(pa.array(a + picked)), batch.column(2).take(pa.array(a + picked)),
-                    pa.array([words[cut[i] : cut[i + 1]].tobytes() for i in picked], pa.binary()), pa.array([count[cut[i] : cut[i + 1]].tobytes() for i in picked], pa.binary()),
+                    pa.array(
+                        [words[cut[i] : cut[i + 1]].tobytes() for i in picked], pa.binary()
+                    ), pa.array([count[cut[i] : cut[i + 1]].tobytes() for i in picked], pa.binary()),
                 ], ["id", "scale", "words", "counts"])
 
     return build
@@ -134,7 +136,10 @@ def _moments(state):
             for g in np.unique(scale):
                 x, v = z[scale == g], y[scale == g]
                 sums[int(g)] = sums.get(int(g), 0) + np.array([*(np.sum(x**k) for k in range(7)), *(np.sum(v * x**k) for k in range(4))])
-        yield pa.RecordBatch.from_pydict({"segment": pa.array(list(sums), pa.int32()), "task": pa.array([_task()] * len(sums), pa.int32()), "sums": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({
+            "segment": pa.array(list(sums), pa.int32()), "task": pa.array([_task()] * len(sums), pa.int32()),
+            "sums": pa.array([x.tobytes() for x in sums.values()], pa.binary())
+        })
 
     return step
 
@@ -156,7 +161,10 @@ def _round(state, nodes: int, only_graded: bool):
             mass += np.bincount(words, counts, nodes)
         if mass.any():
             t, m = total.reshape(SEGMENTS, -1), mass.reshape(SEGMENTS, -1)
-            yield pa.RecordBatch.from_pydict({"segment": pa.array(range(SEGMENTS), pa.int32()), "task": pa.array([_task()] * SEGMENTS, pa.int32()), "sums": pa.array([np.concatenate(x).tobytes() for x in zip(t, m)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({
+                "segment": pa.array(range(SEGMENTS), pa.int32()), "task": pa.array([_task()] * SEGMENTS, pa.int32()),
+                "sums": pa.array([np.concatenate(x).tobytes() for x in zip(t, m)], pa.binary())
+            })
 
     return step
 
@@ -187,7 +195,10 @@ def _fit(moments: np.ndarray, degree: int) -> np.ndarray:
     return np.linalg.solve(a, moments[7 : 8 + degree] / size) / size
 
 
-def reading_levels(documents: DataFrame, id_column: str, text_column: str, grades: DataFrame, grade_column: str, scale: Column | None = None, rounds: int = ROUNDS, nodes: int = NODES, min_words: int = MIN_WORDS) -> DataFrame:
+def reading_levels(
+    documents: DataFrame, id_column: str, text_column: str, grades: DataFrame, grade_column: str, scale: Column | None = None, rounds: int = ROUNDS,
+    nodes: int = NODES, min_words: int = MIN_WORDS
+) -> DataFrame:
     """(id, score, reading_level): a level from 1 to 5 for each document with enough running text.
 
     ``grades`` (the same id column, ``grade_column``) may grade a document more than once: the mean
@@ -204,9 +215,13 @@ def reading_levels(documents: DataFrame, id_column: str, text_column: str, grade
     names = sorted(r[0] for r in documents.select(part.alias("part")).distinct().limit(SCALES + 1).collect())
     if len(names) > SCALES:
         raise ValueError(f"more than {SCALES} scales")
-    number = F.coalesce(F.array_position(F.array(*[F.lit(n) for n in names]), F.col("part")) - 1, F.lit(0)).cast("int") if names else F.lit(0).cast("int")
+    number = F.coalesce(
+        F.array_position(F.array(*[F.lit(n) for n in names]), F.col("part")) - 1, F.lit(0)
+    ).cast("int") if names else F.lit(0).cast("int")
     marks = grades.where(F.col(grade_column).between(1, 5)).groupBy(F.col(id_column).cast("long").alias("id")).agg(F.avg(grade_column).alias("grade"))
-    rows = documents.where(F.col(text_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), part.alias("part")).select("id", "text", number.alias("scale"))
+    rows = documents.where(F.col(text_column).isNotNull()).select(
+        F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), part.alias("part")
+    ).select("id", "text", number.alias("scale"))
     edges = rows.mapInArrow(_edges(nodes, min_words), "id long, scale int, words binary, counts binary")
     graph = keep(edges.join(marks, "id", "left").select("id", "words", "counts", "grade", "scale"), "reading-graph")
     mean = graph.agg(F.avg("grade")).first()[0]
@@ -249,6 +264,8 @@ def reading_levels(documents: DataFrame, id_column: str, text_column: str, grade
             level = np.clip(c[:, 0] + c[:, 1] * z + c[:, 2] * z**2 + c[:, 3] * z**3, 0.5, 5.5)
             stands = ~np.isnan(grade) & (np.abs(level - grade) < FAR)
             out = np.where(stands, (level + 2 * np.nan_to_num(grade)) / 3, level)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(level), pa.array(np.clip(np.rint(out), 1, 5).astype(np.int32))], ["id", "score", "reading_level"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(level), pa.array(np.clip(np.rint(out), 1, 5).astype(np.int32))], ["id", "score", "reading_level"]
+            )
 
     return graph.mapInArrow(score, "id long, score double, reading_level int")

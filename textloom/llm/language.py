@@ -22,7 +22,9 @@ class Profile:
     def __init__(self, counts: pd.DataFrame):
         total = counts.groupby("lang")["n"].sum().sort_values(ascending=False)
         self.names: list[str] = list(total.index[:LANGUAGES])
-        table = counts[counts["lang"].isin(self.names)].pivot_table(index="hash", columns="lang", values="n", aggfunc="sum", fill_value=0).reindex(columns=self.names).sort_index()
+        table = counts[counts["lang"].isin(self.names)].pivot_table(
+            index="hash", columns="lang", values="n", aggfunc="sum", fill_value=0
+        ).reindex(columns=self.names).sort_index()
         self.hashes = table.index.to_numpy(np.int64)
         seen = table.to_numpy(float) + 0.5
         self.logs = np.log(seen / seen.sum(axis=0)) if self.names else np.zeros((0, 0))
@@ -46,7 +48,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of = langs[a:b][p.row]
             for lang in np.unique(of):
                 h, n = np.unique(p.hash[of == lang], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * h.size, pa.string()), "hash": pa.array(h.view(np.int64)), "n": pa.array(n, pa.int64())})
+                yield pa.RecordBatch.from_pydict({
+                    "lang": pa.array([lang] * h.size, pa.string()), "hash": pa.array(h.view(np.int64)), "n": pa.array(n, pa.int64())
+                })
 
 
 def profile(df: DataFrame, id_column: str, text_column: str, lang: Column, sample: int = SAMPLE) -> Profile:
@@ -54,7 +58,9 @@ def profile(df: DataFrame, id_column: str, text_column: str, lang: Column, sampl
 
     The bound makes what is sent to the driver, and from there to the tasks, the vocabulary of ``sample`` texts.
     """
-    rows = df.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), lang.alias("lang"), F.col(text_column).alias("text")).where("lang is not null")
+    rows = df.where(F.col(text_column).isNotNull()).select(
+        F.col(id_column).alias("id"), lang.alias("lang"), F.col(text_column).alias("text")
+    ).where("lang is not null")
     n = rows.count()
     chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(n, 1)))).select("lang", "text")
     return Profile(chosen.mapInArrow(_counted, "lang string, hash long, n long").groupBy("lang", "hash").agg(F.sum("n").alias("n")).toPandas())

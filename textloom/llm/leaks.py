@@ -86,7 +86,9 @@ class Patterns:
         place, block = place[inside], block[inside]
         many = (self.bucket[block + 1] - self.bucket[block]).astype(np.int64)
         place = np.repeat(place, many)
-        pattern = self.member[np.repeat(self.bucket[block] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(place.size)] if place.size else np.zeros(0, np.int64)
+        pattern = self.member[np.repeat(
+            self.bucket[block] - np.concatenate(([0], np.cumsum(many)[:-1])), many
+        ) + np.arange(place.size)] if place.size else np.zeros(0, np.int64)
         for q in range(m):  # the words themselves
             same = self.runs[pattern, q] == w.hash[place - (m - 1 - q)]
             place, pattern = place[same], pattern[same]
@@ -114,7 +116,9 @@ class Patterns:
             return []
         entry = np.repeat(self.first[pattern] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(total)
         longest, rows = int(self.sizes.max()), int(w.row[-1]) + 1
-        pair, least = self.passage[entry] * rows + np.repeat(w.row[start], many), np.maximum(np.minimum(3, self.sizes - self.m + 1), cover * SEEDS * self.sizes)
+        pair, least = self.passage[entry] * rows + np.repeat(w.row[start], many), np.maximum(
+            np.minimum(3, self.sizes - self.m + 1), cover * SEEDS * self.sizes
+        )
         if rows * self.sizes.size <= DENSE:
             count = np.bincount(pair, minlength=rows * self.sizes.size)[pair]
         else:
@@ -208,13 +212,18 @@ def _search(patterns, cover: float, errors: float):
                     keys = list(best)
                     yield pa.RecordBatch.from_pydict({
                         "item_id": pa.array([int(known.ids[p]) for _, p in keys], pa.int64()), "doc_id": pa.array([int(ids[a + r]) for r, _ in keys], pa.int64()),
-                        "covered": pa.array([best[k][0] for k in keys], pa.int32()), "errors": pa.array([-best[k][1] for k in keys], pa.int32()), "n_words": pa.array([int(known.sizes[p]) for _, p in keys], pa.int32()),
+                        "covered": pa.array([best[k][0] for k in keys], pa.int32()), "errors": pa.array([-best[k][1] for k in keys], pa.int32()), "n_words": pa.array(
+                            [int(known.sizes[p]) for _, p in keys], pa.int32()
+                        ),
                     })
 
     return search
 
 
-def find_leaks(documents: DataFrame, id_column: str, text_column: str, passages: DataFrame, item_column: str, passage_column: str, cover: float = COVER, errors: float = ERRORS, search_chars: int = SEARCH_CHARS, search_passages: int = SEARCH_PASSAGES) -> DataFrame:
+def find_leaks(
+    documents: DataFrame, id_column: str, text_column: str, passages: DataFrame, item_column: str, passage_column: str, cover: float = COVER,
+    errors: float = ERRORS, search_chars: int = SEARCH_CHARS, search_passages: int = SEARCH_PASSAGES
+) -> DataFrame:
     """(item_id, doc_id, covered, errors, n_words): documents that hold a stretch of a passage.
 
     A stretch is consecutive words of the passage, at least ``cover`` of them, in which at most
@@ -225,13 +234,17 @@ def find_leaks(documents: DataFrame, id_column: str, text_column: str, passages:
     stretches gives one row, with the longest.  Repeated documents each have their rows; passages should have different ids.
     """
     spark = documents.sparkSession
-    given = passages.where(F.col(item_column).isNotNull() & F.col(passage_column).isNotNull()).select(F.col(item_column).cast("long").alias("i"), F.col(passage_column).alias("t"))
+    given = passages.where(F.col(item_column).isNotNull() & F.col(passage_column).isNotNull()).select(
+        F.col(item_column).cast("long").alias("i"), F.col(passage_column).alias("t")
+    )
     count, chars = given.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
     blocks = max(1, -(-chars // search_chars), -(-count // search_passages))
     rows = documents.where(F.col(text_column).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long"), text_column)
     found = None
     for k in range(blocks):
         block = [(r["i"], r["t"]) for r in given.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect()]  # a block, of bounded size
-        part = rows.mapInArrow(_search(spark.sparkContext.broadcast(Patterns(block)), cover, errors), "item_id long, doc_id long, covered int, errors int, n_words int")
+        part = rows.mapInArrow(
+            _search(spark.sparkContext.broadcast(Patterns(block)), cover, errors), "item_id long, doc_id long, covered int, errors int, n_words int"
+        )
         found = part if found is None else found.unionByName(part)
     return found

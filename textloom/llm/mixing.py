@@ -24,7 +24,9 @@ def mix_sources(texts: DataFrame, targets: DataFrame, total: float | None = None
     source what it has, was to have and got.  Sources without a target, texts of no tokens and NULL
     sources are left out; a source without texts gets nothing and doesn't limit the others.
     """
-    goals = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    goals = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(
+        F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")
+    )
     sized = texts.select("id", "source", "tokens").where("tokens > 0").join(F.broadcast(goals), "source").select("id", "source", "tokens")
     sized = keep(sized, "mix-sized")  # read several times below
     have = sized.groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum("tokens").alias("available"), F.max("tokens").alias("longest"))
@@ -33,14 +35,20 @@ def mix_sources(texts: DataFrame, targets: DataFrame, total: float | None = None
     size = float(total if total is not None else limit or 0)
     rate = F.least(F.lit(size) * F.col("target_share") / F.col("available"), F.col("max_repeats").cast("double"))
     offset = (F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1_000_000_007)) / 1_000_000_007.0)
-    plan = plan.select("source", "target_share", "max_repeats", "texts", "available", "longest", F.coalesce(rate, F.lit(0.0)).alias("rate"), offset.alias("offset"))
+    plan = plan.select(
+        "source", "target_share", "max_repeats", "texts", "available", "longest", F.coalesce(rate, F.lit(0.0)).alias("rate"), offset.alias("offset")
+    )
     along = running_total(sized, ["source"], ["tokens", "id"], F.lit(1), "place")
     # expected copies of the first n texts are n times the rate: no sum of fractions
     upto = F.floor(F.col("place") * F.col("rate") + F.col("offset"))
     before = F.floor((F.col("place") - 1) * F.col("rate") + F.col("offset"))
-    used = along.join(F.broadcast(plan.select("source", "rate", "offset")), "source").select("id", "source", "tokens", (upto - before).cast("int").alias("copies")).where("copies > 0")
+    used = along.join(F.broadcast(plan.select("source", "rate", "offset")), "source").select(
+        "id", "source", "tokens", (upto - before).cast("int").alias("copies")
+    ).where("copies > 0")
     used = keep(used, "mix-used")
-    got = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.count(F.lit(1)).alias("used_texts"), F.max("copies").alias("most_copies"))
+    got = used.groupBy("source").agg(
+        F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.count(F.lit(1)).alias("used_texts"), F.max("copies").alias("most_copies")
+    )
     whole = got.agg(F.sum("mixed_tokens")).first()[0] or 1
     report = plan.drop("offset").join(got, "source", "left").fillna(0, ["texts", "available", "longest", "mixed_tokens", "used_texts", "most_copies"])
     return used, report.withColumn("reached_share", F.col("mixed_tokens") / F.lit(float(whole)))

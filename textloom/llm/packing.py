@@ -131,7 +131,9 @@ def _fill(items: Items, window: int, cells: int, depth: int) -> list[tuple[tuple
     return made
 
 
-def sequence_types(histogram: dict[int, int], capacity: int, cells: int = CELLS, depth: int = DEPTH, smallest: int = SMALLEST) -> list[tuple[tuple[int, ...], int]]:
+def sequence_types(
+    histogram: dict[int, int], capacity: int, cells: int = CELLS, depth: int = DEPTH, smallest: int = SMALLEST
+) -> list[tuple[tuple[int, ...], int]]:
     """Types of sequences (the lengths in each) with repeat counts that hold the whole histogram."""
     items = Items()
     for length, n in sorted(histogram.items()):
@@ -208,8 +210,12 @@ def packed(lengths: DataFrame, capacities: list[int], cells: int = CELLS, depth:
     spark = lengths.sparkSession
     whole = lengths.where("length > 0").select("id", F.col("length").cast("long").alias("_all"))
     each = whole.select("id", "_all", F.explode(F.array(*[F.lit(int(c)) for c in sorted(set(capacities))])).alias("capacity"))
-    pieces = each.select("id", "capacity", "_all", F.explode(F.sequence(F.lit(0), F.floor((F.col("_all") - 1) / F.col("capacity")).cast("int"))).alias("piece"))
-    pieces = pieces.select("id", "capacity", "piece", F.least(F.col("capacity"), F.col("_all") - F.col("piece") * F.col("capacity")).cast("int").alias("length"))
+    pieces = each.select(
+        "id", "capacity", "_all", F.explode(F.sequence(F.lit(0), F.floor((F.col("_all") - 1) / F.col("capacity")).cast("int"))).alias("piece")
+    )
+    pieces = pieces.select(
+        "id", "capacity", "piece", F.least(F.col("capacity"), F.col("_all") - F.col("piece") * F.col("capacity")).cast("int").alias("length")
+    )
     ranked = running_total(pieces, ["capacity", "length"], ["id", "piece"], F.lit(1), "rank")
     histogram = pieces.groupBy("capacity", "length").agg(F.count(F.lit(1)).alias("n"))  # for each capacity at most as many rows as that
     made = histogram.groupBy("capacity").applyInPandas(_slots(cells, depth), "capacity int, length int, start long, k int, first long")
@@ -229,7 +235,10 @@ def packed(lengths: DataFrame, capacities: list[int], cells: int = CELLS, depth:
                 start, k, base = table[int(capacity[at[0]]), int(length[at[0]])]
                 i = np.searchsorted(start, rank[at] - 1, side="right") - 1
                 sequence[at] = base[i] + (rank[at] - 1 - start[i]) // k[i]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "capacity", "piece", "length")), pa.array(sequence)], ["id", "capacity", "piece", "length", "sequence"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("id", "capacity", "piece", "length")), pa.array(sequence)],
+                ["id", "capacity", "piece", "length", "sequence"]
+            )
 
     rows = ranked.select("id", "capacity", "piece", "length", F.col("rank").cast("long").alias("rank"))
     return rows.mapInArrow(place, f"id {dict(pieces.dtypes)['id']}, capacity int, piece int, length int, sequence long")
@@ -238,4 +247,7 @@ def packed(lengths: DataFrame, capacities: list[int], cells: int = CELLS, depth:
 def packing_report(sequences: DataFrame) -> DataFrame:
     """Of packed records: sequences, records' pieces, tokens, the share of unused room, the fullest."""
     each = sequences.groupBy("capacity", "sequence").agg(F.sum("length").alias("filled"), F.count(F.lit(1)).alias("pieces"))
-    return each.groupBy("capacity").agg(F.count(F.lit(1)).alias("sequences"), F.sum("pieces").alias("pieces"), F.sum("filled").alias("tokens"), F.max("filled").alias("fullest"), (1 - F.sum("filled") / (F.count(F.lit(1)) * F.col("capacity"))).alias("unused_share"))
+    return each.groupBy("capacity").agg(
+        F.count(F.lit(1)).alias("sequences"), F.sum("pieces").alias("pieces"), F.sum("filled").alias("tokens"), F.max("filled").alias("fullest"),
+        (1 - F.sum("filled") / (F.count(F.lit(1)) * F.col("capacity"))).alias("unused_share")
+    )

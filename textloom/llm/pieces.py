@@ -84,7 +84,9 @@ class Pieces:
         sizes = self.end - self.start
         place = (np.arange(self.codes.size) - np.repeat(self.start, sizes)) & 0xFFFF
         with np.errstate(over="ignore"):
-            return mix(np.add.reduceat((self.codes.astype(np.uint64) + np.uint64(1)) * _powers()[place], self.start) + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            return mix(np.add.reduceat(
+                (self.codes.astype(np.uint64) + np.uint64(1)) * _powers()[place], self.start
+            ) + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def text(self, i: int) -> str:
         return self.codes[self.start[i] : self.end[i]].tobytes().decode("utf-32-le", "surrogatepass")

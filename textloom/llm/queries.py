@@ -36,20 +36,32 @@ def _folded_source(column: str = "source"):
 def _covered(spark: SparkSession, folder: str) -> DataFrame:
     """Each record outside train: its split and source, and of its nearest train record the similarity, the share covered and whose copy it is."""
     prepared, members, pairs = _overlap(spark, folder)
-    best = pairs.groupBy("class_eval").agg(F.max("similarity").alias("similarity"), F.max(F.col("common") / F.col("n_eval")).alias("coverage"), F.count(F.lit(1)).alias("train_texts"), F.max_by("class_train", F.struct("similarity", -F.col("class_train"))).alias("nearest"))
-    hit = members.where("not in_train").join(best, F.col("class") == F.col("class_eval")).select("id", "similarity", "coverage", "train_texts", "nearest")
-    rows = prepared.where(~F.coalesce(F.col("split") == "train", F.lit(False))).select("source_index", "document_id", "split", _folded_source().alias("source"))
+    best = pairs.groupBy("class_eval").agg(
+        F.max("similarity").alias("similarity"), F.max(F.col("common") / F.col("n_eval")).alias("coverage"), F.count(F.lit(1)).alias("train_texts"),
+        F.max_by("class_train", F.struct("similarity", -F.col("class_train"))).alias("nearest")
+    )
+    hit = members.where("not in_train").join(best, F.col("class") == F.col("class_eval")).select(
+        "id", "similarity", "coverage", "train_texts", "nearest"
+    )
+    rows = prepared.where(~F.coalesce(F.col("split") == "train", F.lit(False))).select(
+        "source_index", "document_id", "split", _folded_source().alias("source")
+    )
     return rows.join(hit, F.col("source_index") == F.col("id"), "left").drop("id")
 
 
 def p1_overlap_report(spark: SparkSession, folder: str) -> DataFrame:
     """Per evaluation split and source: records, overlapping records, copies and mean best coverage."""
-    return _covered(spark, folder).groupBy("split", "source").agg(F.count(F.lit(1)).alias("records"), F.count("similarity").alias("overlapping"), F.count_if(F.col("similarity") == 1).alias("copies"), F.avg("coverage").alias("mean_coverage"))
+    return _covered(spark, folder).groupBy("split", "source").agg(
+        F.count(F.lit(1)).alias("records"), F.count("similarity").alias("overlapping"), F.count_if(F.col("similarity") == 1).alias("copies"),
+        F.avg("coverage").alias("mean_coverage")
+    )
 
 
 def p1_record_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Per overlapping record: the share of its words that a train record covers, and the nearest train text."""
-    return _covered(spark, folder).where("similarity is not null").select("source_index", "document_id", "split", "source", "coverage", "similarity", "train_texts", F.col("nearest").alias("class_train"))
+    return _covered(spark, folder).where("similarity is not null").select(
+        "source_index", "document_id", "split", "source", "coverage", "similarity", "train_texts", F.col("nearest").alias("class_train")
+    )
 
 
 def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,7 +70,10 @@ def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
     names = prepared.select(F.col("source_index"), "document_id")
     a = names.select(F.col("source_index").alias("class_train"), F.col("document_id").alias("document_id_train"))
     b = names.select(F.col("source_index").alias("class_eval"), F.col("document_id").alias("document_id_eval"))
-    return pairs.join(a, "class_train").join(b, "class_eval").select("class_train", "class_eval", "document_id_train", "document_id_eval", "common", "similarity", (F.col("common") / F.col("n_eval")).alias("coverage_eval"))
+    return pairs.join(a, "class_train").join(b, "class_eval").select(
+        "class_train", "class_eval", "document_id_train", "document_id_eval", "common", "similarity",
+        (F.col("common") / F.col("n_eval")).alias("coverage_eval")
+    )
 
 
 def p1_members(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,7 +96,9 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
     """The new split of each record."""
     prepared = table(spark, folder, "prepared")
-    return group_splits(prepared, "source_index", _keys(), table(spark, folder, "split_targets"), tag=False).select(F.col("id").alias("source_index"), "entity", "new_split")
+    return group_splits(
+        prepared, "source_index", _keys(), table(spark, folder, "split_targets"), tag=False
+    ).select(F.col("id").alias("source_index"), "entity", "new_split")
 
 
 def p4_split_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,7 +106,10 @@ def p4_split_report(spark: SparkSession, folder: str) -> DataFrame:
     new = keep(p4_splits(spark, folder), "splits")
     n = new.count()
     got = new.groupBy(F.col("new_split").alias("split")).agg(F.count(F.lit(1)).alias("records"), F.countDistinct("entity").alias("documents"))
-    return table(spark, folder, "split_targets").join(got, "split", "left").select("split", "target_share", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("documents", F.lit(0)).alias("documents"), (F.coalesce("records", F.lit(0)) / F.lit(max(n, 1))).alias("share"))
+    return table(spark, folder, "split_targets").join(got, "split", "left").select(
+        "split", "target_share", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("documents", F.lit(0)).alias("documents"),
+        (F.coalesce("records", F.lit(0)) / F.lit(max(n, 1))).alias("share")
+    )
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,9 +123,14 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_leak_report(spark: SparkSession, folder: str) -> DataFrame:
     """Per passage: documents that hold it, wholly (nine tenths) or in part."""
     got = _leaks(spark, folder).withColumn("share", F.col("covered") / F.col("n_words"))
-    per = got.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("share") >= 0.9).alias("whole"), F.max("share").alias("best_share"))
+    per = got.groupBy("item_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.col("share") >= 0.9).alias("whole"), F.max("share").alias("best_share")
+    )
     items = table(spark, folder, "eval_passages").select("item_id", "subject", "split")
-    return items.join(per, "item_id", "left").select("item_id", "subject", "split", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("whole", F.lit(0)).alias("whole"), "best_share")
+    return items.join(per, "item_id", "left").select(
+        "item_id", "subject", "split", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("whole", F.lit(0)).alias("whole"),
+        "best_share"
+    )
 
 
 def _given_language():
@@ -134,8 +159,12 @@ def _stats(spark: SparkSession, folder: str) -> DataFrame:
 def _document_tokens(spark: SparkSession, folder: str) -> DataFrame:
     documents = texts(spark, folder, "documents")
     more = documents.select(F.col("doc_id").alias("id"), F.length("text").alias("n_chars"), _given_language().alias("given"))
-    counts = token_counts(documents, "doc_id", "text", languages=_languages(spark, folder)).join(more, "id").withColumn("part", F.coalesce("given", "lang")).drop("given", "lang")
-    given = _stats(spark, folder).select("id", F.col("tokens_with_eos").alias("with_eos"), F.col("tokens_without_eos").alias("without_eos"), F.col("num_chars").alias("given_chars"))
+    counts = token_counts(
+        documents, "doc_id", "text", languages=_languages(spark, folder)
+    ).join(more, "id").withColumn("part", F.coalesce("given", "lang")).drop("given", "lang")
+    given = _stats(spark, folder).select(
+        "id", F.col("tokens_with_eos").alias("with_eos"), F.col("tokens_without_eos").alias("without_eos"), F.col("num_chars").alias("given_chars")
+    )
     return budget_tokens(counts, given)
 
 
@@ -148,17 +177,29 @@ def p5_document_tokens(spark: SparkSession, folder: str) -> DataFrame:
 def p5_token_budget(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and tokens by source, language, legal type and issuing authority, and in all."""
     documents = table(spark, folder, "documents")
-    labels = documents.select(F.col("doc_id").alias("id"), "source", "lang").join(_stats(spark, folder).select("id", F.col("legal_type").alias("t1"), F.col("issuing_authority").alias("a1")), "id", "left")
-    meta = _latest_metadata(spark, folder).select(F.expr("try_cast(id as long)").alias("id"), F.col("legal_type").alias("t2"), F.col("issuing_authority").alias("a2"))
+    labels = documents.select(F.col("doc_id").alias("id"), "source", "lang").join(
+        _stats(spark, folder).select("id", F.col("legal_type").alias("t1"), F.col("issuing_authority").alias("a1")), "id", "left"
+    )
+    meta = _latest_metadata(spark, folder).select(
+        F.expr("try_cast(id as long)").alias("id"), F.col("legal_type").alias("t2"), F.col("issuing_authority").alias("a2")
+    )
     labels = labels.join(meta.where("id is not null"), "id", "left")
     first = lambda a, b: F.coalesce(F.when(F.trim(a) != "", F.col(a)), F.col(b))
-    labels = labels.select("id", _folded_source().alias("source"), F.substring(spelled_alike(F.col("lang")), 1, 2).alias("lang"), spelled_alike(first("t1", "t2")).alias("legal_type"), spelled_alike(first("a1", "a2")).alias("issuing_authority"))
+    labels = labels.select(
+        "id", _folded_source().alias("source"), F.substring(spelled_alike(F.col("lang")), 1, 2).alias("lang"),
+        spelled_alike(first("t1", "t2")).alias("legal_type"), spelled_alike(first("a1", "a2")).alias("issuing_authority")
+    )
     labels = keep(labels, "budget-labels")
     types = written_out(labels, "legal_type")
-    labels = labels.join(types, F.col("legal_type") == F.col("short"), "left").withColumn("legal_type", F.coalesce("long", "legal_type")).drop("short", "long")
+    labels = labels.join(
+        types, F.col("legal_type") == F.col("short"), "left"
+    ).withColumn("legal_type", F.coalesce("long", "legal_type")).drop("short", "long")
     rows = _document_tokens(spark, folder).join(labels, "id")
     slices_ = ["source", "lang", "legal_type", "issuing_authority"]
-    named = F.explode(F.array(*[F.struct(F.lit(c).alias("slice"), F.coalesce(c, F.lit("unknown")).alias("value")) for c in slices_], F.struct(F.lit("all").alias("slice"), F.lit("all").alias("value"))))
+    named = F.explode(F.array(
+        *[F.struct(F.lit(c).alias("slice"), F.coalesce(c, F.lit("unknown")).alias("value")) for c in slices_],
+        F.struct(F.lit("all").alias("slice"), F.lit("all").alias("value"))
+    ))
     return rows.select(named.alias("k"), "tokens", "with_eos", "sound").groupBy("k.slice", "k.value").agg(
         F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"), F.sum("with_eos").alias("tokens_with_eos"), F.count_if("sound").alias("delivered"))
 
@@ -177,7 +218,9 @@ def _source_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """How often each text is used, of those used at all."""
-    return mix_sources(_source_texts(spark, folder), table(spark, folder, "mix_targets"))[0].select(F.col("id").alias("doc_id"), "source", "tokens", "copies")
+    return mix_sources(
+        _source_texts(spark, folder), table(spark, folder, "mix_targets")
+    )[0].select(F.col("id").alias("doc_id"), "source", "tokens", "copies")
 
 
 def p7_mixture_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -190,7 +233,10 @@ def _train_lengths(spark: SparkSession, folder: str) -> DataFrame:
     train = texts(spark, folder, "prepared").where("split = 'train'")
     counts = token_counts(train, "source_index", "text", languages=_languages(spark, folder)).withColumnRenamed("lang", "part")
     counts = counts.join(train.select(F.col("source_index").alias("id"), F.length("text").alias("n_chars")), "id")
-    given = train.select(F.col("source_index").alias("id"), F.col("tokens_with_eos").alias("with_eos"), F.col("tokens_without_eos").alias("without_eos"), F.col("num_chars").alias("given_chars"))
+    given = train.select(
+        F.col("source_index").alias("id"), F.col("tokens_with_eos").alias("with_eos"), F.col("tokens_without_eos").alias("without_eos"),
+        F.col("num_chars").alias("given_chars")
+    )
     return budget_tokens(counts, given).select("id", F.col("with_eos").alias("length"))
 
 
@@ -216,8 +262,13 @@ def p3_checks(spark: SparkSession, folder: str) -> DataFrame:
     rows = keep(packed(lengths, _capacities(spark, folder)), "packed")
     filled = rows.groupBy("capacity", "sequence").agg(F.sum("length").alias("filled")).groupBy("capacity").agg(F.count_if(F.col("filled") > F.col("capacity")).alias("overfull_sequences"))
     whole = rows.groupBy("capacity", "id").agg(F.sum("length").alias("got"), F.count(F.lit(1)).alias("n")).join(lengths, "id")
-    per = whole.groupBy("capacity").agg(F.count(F.lit(1)).alias("records"), F.count_if((F.col("n") > 1) & (F.col("length") <= F.col("capacity"))).alias("needlessly_divided"), F.count_if(F.col("got") != F.col("length")).alias("not_whole"))
-    return per.join(filled, "capacity").select(F.col("capacity").cast("long").alias("capacity"), "records", "overfull_sequences", "needlessly_divided", "not_whole")
+    per = whole.groupBy("capacity").agg(
+        F.count(F.lit(1)).alias("records"), F.count_if((F.col("n") > 1) & (F.col("length") <= F.col("capacity"))).alias("needlessly_divided"),
+        F.count_if(F.col("got") != F.col("length")).alias("not_whole")
+    )
+    return per.join(filled, "capacity").select(
+        F.col("capacity").cast("long").alias("capacity"), "records", "overfull_sequences", "needlessly_divided", "not_whole"
+    )
 
 
 def p4_checks(spark: SparkSession, folder: str) -> DataFrame:
@@ -242,11 +293,18 @@ def p5_checks(spark: SparkSession, folder: str) -> DataFrame:
 def p7_checks(spark: SparkSession, folder: str) -> DataFrame:
     """Target sources, those whose tokens miss what they should have by more than one text, and those with a text used too often."""
     report = p7_mixture_report(spark, folder)
-    return report.agg(F.count(F.lit(1)).alias("sources"), F.count_if(F.abs(F.col("mixed_tokens") - F.col("rate") * F.col("available")) > F.col("longest")).alias("off_their_share"), F.count_if(F.col("most_copies") > F.col("max_repeats")).alias("used_too_often"))
+    return report.agg(
+        F.count(F.lit(1)).alias("sources"),
+        F.count_if(F.abs(F.col("mixed_tokens") - F.col("rate") * F.col("available")) > F.col("longest")).alias("off_their_share"),
+        F.count_if(F.col("most_copies") > F.col("max_repeats")).alias("used_too_often")
+    )
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    levels = reading_levels(texts(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "reading_labels"), "reading_level", language(_given_language(), F.col("text"), _languages(spark, folder)))
+    levels = reading_levels(
+        texts(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "reading_labels"), "reading_level",
+        language(_given_language(), F.col("text"), _languages(spark, folder))
+    )
     return levels.select(F.col("id").alias("doc_id"), "reading_level")
 
 

@@ -80,9 +80,13 @@ def balanced_bins(entities: DataFrame, bins: int = BINS) -> DataFrame:
             v[0] = w
             vectors.append(v)
         total, maps = difference(vectors)
-        return pd.DataFrame({"node": pdf["node"], "parent": pdf["parent"], "bin": [int(m[0]) for m in maps], "weights": [total.tolist()] + [None] * (len(pdf) - 1)})
+        return pd.DataFrame({
+            "node": pdf["node"], "parent": pdf["parent"], "bin": [int(m[0]) for m in maps], "weights": [total.tolist()] + [None] * (len(pdf) - 1)
+        })
 
-    made = nodes.withColumn("parent", F.pmod(F.xxhash64("node"), F.lit(groups)).cast("long")).groupBy("parent").applyInPandas(leaves, "node string, parent long, bin int, weights array<double>")
+    made = nodes.withColumn("parent", F.pmod(F.xxhash64("node"), F.lit(groups)).cast("long")).groupBy("parent").applyInPandas(
+        leaves, "node string, parent long, bin int, weights array<double>"
+    )
     made = keep(made, "bins-leaves")
     placed = made.select(F.col("node").alias("entity"), "parent", "bin")
     level = made.where(F.col("weights").isNotNull()).select(F.col("parent").alias("node"), "weights")
@@ -90,14 +94,21 @@ def balanced_bins(entities: DataFrame, bins: int = BINS) -> DataFrame:
     def inner(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
         total, maps = difference([np.asarray(w) for w in pdf["weights"]])
-        return pd.DataFrame({"node": pdf["node"], "parent": pdf["parent"], "bins": [m.astype(int).tolist() for m in maps], "weights": [total.tolist()] + [None] * (len(pdf) - 1)})
+        return pd.DataFrame({
+            "node": pdf["node"], "parent": pdf["parent"], "bins": [m.astype(int).tolist() for m in maps],
+            "weights": [total.tolist()] + [None] * (len(pdf) - 1)
+        })
 
     while groups > 1:
         groups = -(-groups // FAN)
-        up = level.withColumn("parent", F.pmod(F.xxhash64("node"), F.lit(groups)).cast("long")).groupBy("parent").applyInPandas(inner, "node long, parent long, bins array<int>, weights array<double>")
+        up = level.withColumn("parent", F.pmod(F.xxhash64("node"), F.lit(groups)).cast("long")).groupBy("parent").applyInPandas(
+            inner, "node long, parent long, bins array<int>, weights array<double>"
+        )
         up = keep(up, "bins-level")
         maps = up.select("node", F.col("parent").alias("above"), "bins")
-        placed = placed.join(maps, placed["parent"] == maps["node"]).select("entity", F.col("above").alias("parent"), F.element_at("bins", F.col("bin") + 1).alias("bin"))
+        placed = placed.join(maps, placed["parent"] == maps["node"]).select(
+            "entity", F.col("above").alias("parent"), F.element_at("bins", F.col("bin") + 1).alias("bin")
+        )
         level = up.where(F.col("weights").isNotNull()).select(F.col("parent").alias("node"), "weights")
     return placed.select("entity", "bin")
 
@@ -115,7 +126,9 @@ def assign_bins(weights: list[tuple[int, float]], targets: list[tuple[str, float
     return out
 
 
-def group_splits(df: DataFrame, id_column: str, keys: list[Column], targets: DataFrame, weight: Column | None = None, tag: bool = True, bins: int = BINS) -> DataFrame:
+def group_splits(
+    df: DataFrame, id_column: str, keys: list[Column], targets: DataFrame, weight: Column | None = None, tag: bool = True, bins: int = BINS
+) -> DataFrame:
     """(id, entity, new_split): all rows that share a key, directly or over others, get one split.
 
     ``targets`` is a small table (split, target_share).  Rows weigh one, or ``weight``.  Rows without

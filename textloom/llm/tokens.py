@@ -53,7 +53,9 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = distinct[code % distinct.size] if distinct.size else distinct
             cut = np.searchsorted(code, np.arange(rows + 1) * np.int64(distinct.size)) if distinct.size else np.zeros(rows + 1, np.int64)
             yield pa.RecordBatch.from_arrays([
-                ids.slice(a, rows), pa.array([hashes[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), pa.array([count[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
+                ids.slice(a, rows), pa.array(
+                    [hashes[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()
+                ), pa.array([count[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
                 pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.string()), pa.nulls(rows, pa.int64()),
             ], names)
             m = distinct.size
@@ -94,15 +96,22 @@ def _counted(head):
             found = known[place] == hashes if known.size else np.zeros(hashes.size, bool)
             total = np.bincount(row[found], lengths[place[found]] * counts[found], sizes.size).astype(np.int64)
             lang = languages.best(row, hashes, counts, sizes.size) if languages else [None] * sizes.size
-            yield pa.RecordBatch.from_arrays([ids, pa.nulls(sizes.size, pa.int64()), pa.array(total), pa.array(lang, pa.string())], ["id", "hash", "n", "lang"])
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.nulls(sizes.size, pa.int64()), pa.array(total), pa.array(lang, pa.string())], ["id", "hash", "n", "lang"]
+            )
             rare = np.flatnonzero(~found)
             if rare.size:
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[rare])), pa.array(hashes[rare]), pa.array(counts[rare]), pa.nulls(rare.size, pa.string())], ["id", "hash", "n", "lang"])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(row[rare])), pa.array(hashes[rare]), pa.array(counts[rare]), pa.nulls(rare.size, pa.string())],
+                    ["id", "hash", "n", "lang"]
+                )
 
     return count
 
 
-def token_counts(df: DataFrame, id_column: str, text_column: str, ranks: str = RANKS, head: int = HEAD, languages: Profile | None = None) -> DataFrame:
+def token_counts(
+    df: DataFrame, id_column: str, text_column: str, ranks: str = RANKS, head: int = HEAD, languages: Profile | None = None
+) -> DataFrame:
     """(id, tokens, lang): tokens of each text, without any end mark.  NULL and empty texts have 0.
 
     ``lang`` is the likeliest of ``languages`` by the text's pieces, NULL where none are given.
@@ -118,10 +127,16 @@ def token_counts(df: DataFrame, id_column: str, text_column: str, ranks: str = R
     often = lengths.where(F.col("n") * F.lit(head) >= F.lit(total)) if head else lengths.limit(0)
     top = often.select("hash", "tokens").toPandas().sort_values("hash")  # at most head rows, as their frequencies sum up to the total
     known = spark.sparkContext.broadcast((top["hash"].to_numpy(np.int64), top["tokens"].to_numpy(np.int64), languages))
-    counted = split.where(F.col("hashes").isNotNull()).select("id", "hashes", "counts").mapInArrow(_counted(known), "id long, hash long, n long, lang string")
+    counted = split.where(F.col("hashes").isNotNull()).select("id", "hashes", "counts").mapInArrow(
+        _counted(known), "id long, hash long, n long, lang string"
+    )
     counted = keep(counted, "piece-counts")
-    rare = counted.where(F.col("hash").isNotNull()).join(lengths.select("hash", "tokens"), "hash").select("id", (F.col("n") * F.col("tokens")).alias("n"), "lang")
-    return counted.where(F.col("hash").isNull()).select("id", "n", "lang").unionByName(rare).groupBy("id").agg(F.sum("n").alias("tokens"), F.max("lang").alias("lang"))
+    rare = counted.where(F.col("hash").isNotNull()).join(lengths.select("hash", "tokens"), "hash").select(
+        "id", (F.col("n") * F.col("tokens")).alias("n"), "lang"
+    )
+    return counted.where(F.col("hash").isNull()).select("id", "n", "lang").unionByName(rare).groupBy("id").agg(
+        F.sum("n").alias("tokens"), F.max("lang").alias("lang")
+    )
 
 
 def budget_tokens(counts: DataFrame, given: DataFrame, low: float = 0.6, high: float = 1.6) -> DataFrame:
@@ -139,7 +154,10 @@ def budget_tokens(counts: DataFrame, given: DataFrame, low: float = 0.6, high: f
     usual = rows.groupBy("part").agg(F.percentile_approx("ratio", 0.5, 10000).alias("usual"))
     rows = keep(rows.join(F.broadcast(usual), rows["part"].eqNullSafe(usual["part"])).drop(usual["part"]), "budget-rows")  # parts: a few languages
     # a text of no tokens has the end mark alone
-    sound = F.coalesce(F.col("ratio").between(F.col("usual") * low, F.col("usual") * high) | (whole & (F.col("tokens") == 0) & (F.col("with_eos") == 1)), F.lit(False))
+    sound = F.coalesce(
+        F.col("ratio").between(F.col("usual") * low, F.col("usual") * high) | (whole & (F.col("tokens") == 0) & (F.col("with_eos") == 1)),
+        F.lit(False)
+    )
     rows = rows.withColumn("sound", sound)
     fits = rows.where("sound").groupBy("part").agg(F.sum("with_eos").alias("g"), F.sum(F.col("tokens") + 1).alias("t"))
     every = rows.where("sound").agg(F.sum("with_eos") / F.sum(F.col("tokens") + 1)).first()[0]
@@ -166,6 +184,8 @@ def written_out(names: DataFrame, column: str) -> DataFrame:
     An abbreviation is a single word of two or three letters; initials are the first letters of the words.
     """
     counted = names.where(F.col(column).isNotNull()).groupBy(column).count()
-    long = counted.where(F.instr(column, " ") > 0).withColumn("short", F.array_join(F.transform(F.split(column, " "), lambda w: F.substring(w, 1, 1)), ""))
+    long = counted.where(F.instr(column, " ") > 0).withColumn(
+        "short", F.array_join(F.transform(F.split(column, " "), lambda w: F.substring(w, 1, 1)), "")
+    )
     long = long.groupBy("short").agg(F.max_by(column, F.struct("count", column)).alias("long"))
     return counted.where(F.col(column).rlike(r"^\p{L}{2,3}$")).select(F.col(column).alias("short")).join(long, "short")
