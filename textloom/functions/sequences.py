@@ -81,7 +81,9 @@ def overlaps_udf(char_orders: int, word_orders: int):
                 chars = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1) for t in (r, p)]
                 names: dict = {}
                 units = [np.array([names.setdefault(w, len(names) + 1) for w in ws], dtype=np.uint64) for ws in (rw, pw)]
-                rows.append(([gram_overlap(*chars, n) for n in range(1, char_orders + 1)], [gram_overlap(*units, n) for n in range(1, word_orders + 1)]))
+                rows.append((
+                    [gram_overlap(*chars, n) for n in range(1, char_orders + 1)], [gram_overlap(*units, n) for n in range(1, word_orders + 1)]
+                ))
             yield pd.DataFrame(rows, columns=["chars", "words"])
 
     return F.pandas_udf(count, kind)

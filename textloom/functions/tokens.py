@@ -41,13 +41,17 @@ def estimated_chunks(n: Column, target: Column, overlap: int) -> Column:
 def pieces(values: Column, size: int) -> Column:
     """``values`` cut into arrays of ``size``; none of an empty array."""
     starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / F.lit(size)).cast("int"))
-    return F.when(F.size(values) > 0, F.transform(starts, lambda i: F.slice(values, i * size + 1, size))).otherwise(F.array().cast("array<array<string>>"))
+    return F.when(
+        F.size(values) > 0, F.transform(starts, lambda i: F.slice(values, i * size + 1, size))
+    ).otherwise(F.array().cast("array<array<string>>"))
 
 
 def ngrams(values: Column, n: int) -> Column:
     """Every ``n`` consecutive values, joined by a character that isn't part of words."""
     starts = F.sequence(F.lit(1), F.size(values) - (n - 1))
-    return F.when(F.size(values) >= n, F.transform(starts, lambda i: F.array_join(F.slice(values, i, n), "\u0001"))).otherwise(F.array().cast("array<string>"))
+    return F.when(
+        F.size(values) >= n, F.transform(starts, lambda i: F.array_join(F.slice(values, i, n), "\u0001"))
+    ).otherwise(F.array().cast("array<string>"))
 
 
 def score_windows(total: Column, context: int, stride: int) -> Column:
@@ -63,7 +67,10 @@ def score_windows(total: Column, context: int, stride: int) -> Column:
         end = F.least(F.lit(context) + i * stride, total)
         last = F.when(i == 0, F.lit(0)).otherwise(F.least(F.lit(context) + (i - 1) * stride, total))
         begin = F.greatest(F.lit(0), end - context)
-        return F.struct(i.cast("long").alias("window"), begin.cast("long").alias("begin"), end.cast("long").alias("end"), F.greatest(last, begin + 1).cast("long").alias("score_from"))
+        return F.struct(
+            i.cast("long").alias("window"), begin.cast("long").alias("begin"), end.cast("long").alias("end"),
+            F.greatest(last, begin + 1).cast("long").alias("score_from")
+        )
 
     return F.when(total > 0, F.transform(F.sequence(F.lit(0), more), window))
 

@@ -15,7 +15,9 @@ def count_rows(name: str, rows: DataFrame) -> DataFrame:
 def count_where(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """All rules on rows of one table, in one pass."""
     counts = df.agg(*[F.count_if(F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()])
-    return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(n).alias("violations")) for n in rules])).alias("c")).select("c.*")
+    return counts.select(F.explode(F.array(*[F.struct(
+        F.lit(n).alias("check_name"), F.col(n).alias("violations")
+    ) for n in rules])).alias("c")).select("c.*")
 
 
 def repeated(df: DataFrame, key: str) -> DataFrame:

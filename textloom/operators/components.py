@@ -29,7 +29,9 @@ def shared_components(df: DataFrame, id_column: str, keys: list[Column], tag: bo
         near = both.join(names, both["b"] == names["node"]).groupBy(F.col("a").alias("node")).agg(F.min("name").alias("near"))
         least = names.join(near, "node").select("node", F.least("name", "near").alias("least"), "name")
         jump = least.select(F.col("node").alias("via"), F.col("least").alias("far"))
-        moved = least.join(jump, least["least"] == jump["via"], "left").select("node", F.coalesce(F.least("least", "far"), "least").alias("name"), "name")
+        moved = least.join(jump, least["least"] == jump["via"], "left").select(
+            "node", F.coalesce(F.least("least", "far"), "least").alias("name"), "name"
+        )
         moved = keep(moved.toDF("node", "name", "old"), "names")
         names = moved.select("node", "name")
         if moved.where(F.col("name") != F.col("old")).isEmpty():

@@ -34,7 +34,10 @@ QUOTES = {'"': '"', "'": "'", "“": "”", "«": "»", "‘": "’", "„": "
 BRACKETS = {"(": ")", "[": "]", "{": "}"}
 BLANK = re.compile("[\\s\u200b\ufeff]*")
 
-VALUE = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("item_value", T.StringType()), T.StructField("quoted", T.BooleanType()), T.StructField("flag", T.StringType())]))
+VALUE = T.ArrayType(T.StructType([
+    T.StructField("pos", T.IntegerType()), T.StructField("item_value", T.StringType()), T.StructField("quoted", T.BooleanType()),
+    T.StructField("flag", T.StringType())
+]))
 
 
 class FieldGrammar:

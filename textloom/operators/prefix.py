@@ -22,7 +22,10 @@ def running_totals(df: DataFrame, groups: list[str], order: list[str], totals: d
     cut = keep(cut.withColumn("__part", F.spark_partition_id()), "ranges")
     before = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sums = cut.groupBy(*groups, "__part").agg(*[F.sum(v).alias(v) for v in numbered.values()])
-    sums = sums.select("__part", *[F.col(g).alias(f"__group{i}") for i, g in enumerate(groups)], *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}_before") for v in numbered.values()])
+    sums = sums.select(
+        "__part", *[F.col(g).alias(f"__group{i}") for i, g in enumerate(groups)],
+        *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}_before") for v in numbered.values()]
+    )
     same = cut["__part"] == sums["__part"]
     for i, g in enumerate(groups):
         same &= cut[g].eqNullSafe(sums[f"__group{i}"])

@@ -15,14 +15,19 @@ STATS = ("tokens_without_eos", "tokens_with_eos", "num_chars", "num_lines", "art
 CHUNK_TYPE = "full_document_p95"
 
 
-def prepared_rows(content: DataFrame, id_column: str, text: str, stats: DataFrame, threshold: int, capacity: int, keep_empty: bool = False, passthrough: list[str] = ()) -> DataFrame:
+def prepared_rows(
+    content: DataFrame, id_column: str, text: str, stats: DataFrame, threshold: int, capacity: int, keep_empty: bool = False,
+    passthrough: list[str] = ()
+) -> DataFrame:
     """Selected documents with their cleaned text: one record each, and beside it what the checks look at.
 
     ``stats`` has a row for each document (``source_index`` is the content's id).  Documents are selected on their
     statistics before any text is read, so that only selected texts are cleaned.  NULL pass-through fields become "".
     """
     chosen = selection_reasons(stats, threshold, capacity, keep_empty).where("reason = 'selected'")
-    texts = content.select(F.col(id_column).alias("source_index"), K.record_id(F.col(id_column), F.lit(None)).alias("content_id"), F.col(text).alias("_raw"))
+    texts = content.select(
+        F.col(id_column).alias("source_index"), K.record_id(F.col(id_column), F.lit(None)).alias("content_id"), F.col(text).alias("_raw")
+    )
     rows = chosen.join(texts, "source_index").withColumn("text", T.clean_html(F.col("_raw"), "markdown", tree=False))
     if not keep_empty:
         rows = rows.where("text <> ''")
@@ -43,5 +48,7 @@ def preparation_checks(rows: DataFrame, stats: DataFrame, content: DataFrame, id
     ids, known = content.select(F.col(id_column).alias("source_index")), stats.select("source_index")
     return C.together(
         C.count_where(rows, rules), C.count_rows("repeated_document", C.repeated(rows, "document_id")), empty,
-        C.count_rows("content_without_stats", ids.join(known, "source_index", "left_anti")), C.count_rows("stats_without_content", known.join(ids, "source_index", "left_anti")),
+        C.count_rows(
+            "content_without_stats", ids.join(known, "source_index", "left_anti")
+        ), C.count_rows("stats_without_content", known.join(ids, "source_index", "left_anti")),
     )

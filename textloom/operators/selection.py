@@ -31,7 +31,10 @@ def selection_reasons(stats: DataFrame, threshold: int, capacity: int, keep_empt
 def selection_counters(reasons: DataFrame) -> DataFrame:
     """Counts by reason in one row; empty texts count even where they are kept."""
     n = lambda r: F.count_if(F.col("reason") == r)
-    return reasons.agg(F.count(F.lit(1)).alias("stats_rows"), n("selected").alias("selected_rows"), n("over_p95").alias("over_p95_threshold"), n("over_context").alias("over_context_capacity"), F.count_if("empty_after_clean").alias("empty_after_clean"))
+    return reasons.agg(
+        F.count(F.lit(1)).alias("stats_rows"), n("selected").alias("selected_rows"), n("over_p95").alias("over_p95_threshold"),
+        n("over_context").alias("over_context_capacity"), F.count_if("empty_after_clean").alias("empty_after_clean")
+    )
 
 
 def first_selected(reasons: DataFrame, limit: int, order: str = "source_index") -> DataFrame:
@@ -90,7 +93,9 @@ def split_leakage(df: DataFrame, id_column: str = "document_id") -> DataFrame:
     pairs = [(a, b) for a, b in SPLIT_PAIRS if a in there and b in there]
     if not pairs:
         return df.sparkSession.createDataFrame([], "left_split string, right_split string, shared long")
-    hit = lambda a, b: F.struct(F.lit(a).alias("left_split"), F.lit(b).alias("right_split"), (F.array_contains("s", a) & F.array_contains("s", b)).cast("long").alias("hit"))
+    hit = lambda a, b: F.struct(
+        F.lit(a).alias("left_split"), F.lit(b).alias("right_split"), (F.array_contains("s", a) & F.array_contains("s", b)).cast("long").alias("hit")
+    )
     return per.select(F.explode(F.array(*[hit(a, b) for a, b in pairs])).alias("x")).select("x.*").groupBy("left_split", "right_split").agg(F.sum("hit").alias("shared"))
 
 
@@ -112,7 +117,10 @@ def continuation(text: Column, max_total: int = 20_000, max_generation: int = 10
     prefix = F.when(at > 0, head).when(n > fallback + minimum, F.lit(fallback))
     length = F.least(F.when(at > 0, tail).otherwise(n - fallback), F.lit(max_generation), F.lit(max_total) - prefix)
     method = F.when(at > 0, "before_article_2").otherwise("token_fallback")
-    return F.when(prefix.isNotNull() & (length >= minimum), F.struct(method.alias("split_method"), prefix.cast("long").alias("prefix_tokens"), length.cast("long").alias("reference_tokens")))
+    return F.when(
+        prefix.isNotNull() & (length >= minimum),
+        F.struct(method.alias("split_method"), prefix.cast("long").alias("prefix_tokens"), length.cast("long").alias("reference_tokens"))
+    )
 
 
 def evaluation_candidates(df: DataFrame, id_column: str, text: str, limit: int = 0, seed: int = SEED, **cut) -> DataFrame:
@@ -122,7 +130,10 @@ def evaluation_candidates(df: DataFrame, id_column: str, text: str, limit: int =
     """
     clean = F.coalesce(T.normalize_document(F.col(text)), F.lit(""))
     rows = df.select(F.col(id_column).alias("source_index"), clean.alias("clean"))
-    rows = rows.select("source_index", T.count_words(F.col("clean")).alias("tokens"), (F.col("clean") == "").alias("blank"), continuation(F.col("clean"), **cut).alias("c"))
+    rows = rows.select(
+        "source_index", T.count_words(F.col("clean")).alias("tokens"), (F.col("clean") == "").alias("blank"),
+        continuation(F.col("clean"), **cut).alias("c")
+    )
     reason = F.when(F.col("blank"), "empty").when(F.col("tokens") + 1 < 2, "short").when(F.col("c").isNull(), "no_continuation").otherwise("selected")
     rows = rows.select("source_index", reason.alias("reason"), "tokens", "c.split_method", "c.prefix_tokens", "c.reference_tokens")
     if not limit:

@@ -16,7 +16,9 @@ PARTS = 64
 MEASURES = ("num_chars", "num_lines", "tokens_with_eos", "article_count")
 
 
-def document_stats(content: DataFrame, id_column: str, text: str, content_format: str = "markdown", tokenizer=WordTokenizer(), add_eos: bool = True) -> DataFrame:
+def document_stats(
+    content: DataFrame, id_column: str, text: str, content_format: str = "markdown", tokenizer=WordTokenizer(), add_eos: bool = True
+) -> DataFrame:
     """One row for each document: characters, lines, tokens and headings of the cleaned text.
 
     NULL and empty texts count as empty: no characters or lines, and one token, the end mark.  ``tokenizer`` is
@@ -42,13 +44,20 @@ def with_token_counts(stats: DataFrame, counts: DataFrame) -> DataFrame:
 
 def numeric_summaries(rows: DataFrame, measures: tuple[str, ...] = MEASURES) -> DataFrame:
     """Ten figures for each measure, with exact percentiles; all zero for an empty table."""
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("long").alias("v")) for m in measures])).alias("x")).select("x.*")
+    long = rows.select(F.explode(F.array(*[F.struct(
+        F.lit(m).alias("measure"), F.col(m).cast("long").alias("v")
+    ) for m in measures])).alias("x")).select("x.*")
     names = rows.sparkSession.createDataFrame([(m,) for m in measures], "measure string")
     zero = lambda c: F.coalesce(c, F.lit(0))
     got = long.groupBy("measure").agg(
-        F.count("v").alias("count"), F.sum("v").alias("sum"), F.min("v").alias("min"), F.avg("v").alias("mean"), *[F.percentile("v", F.lit(q)).alias(n) for n, q in (("median", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))], F.max("v").alias("max")
+        F.count("v").alias("count"), F.sum("v").alias("sum"), F.min("v").alias("min"), F.avg("v").alias("mean"), *[
+            F.percentile("v", F.lit(q)).alias(n) for n, q in (("median", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))
+        ], F.max("v").alias("max")
     )
-    return names.join(got, "measure", "left").select("measure", *[zero(F.col(c)).cast("long").alias(c) for c in ("count", "sum", "min")], *[F.round(zero(F.col(c)), 6).alias(c) for c in ("mean", "median", "p75", "p90", "p95", "p99")], zero(F.col("max")).cast("long").alias("max"))
+    return names.join(got, "measure", "left").select(
+        "measure", *[zero(F.col(c)).cast("long").alias(c) for c in ("count", "sum", "min")],
+        *[F.round(zero(F.col(c)), 6).alias(c) for c in ("mean", "median", "p75", "p90", "p95", "p99")], zero(F.col("max")).cast("long").alias("max")
+    )
 
 
 def group_key(column: Column) -> Column:
@@ -58,16 +67,29 @@ def group_key(column: Column) -> Column:
 
 def group_summaries(rows: DataFrame, fields: list[str], tokens: str = "tokens_with_eos", order: str = "source_index", top: int = GROUPS) -> DataFrame:
     """Documents, mean, 95th percentile and most tokens of the ``top`` groups of each field; ties: the earlier one."""
-    long = rows.select(F.col(tokens).alias("t"), F.col(order).alias("o"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), group_key(F.col(f)).alias("value")) for f in fields])).alias("x")).select("x.*", "t", "o")
-    got = long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("documents"), F.avg("t").alias("mean_tokens"), F.percentile("t", F.lit(0.95)).alias("p95_tokens"), F.max("t").alias("max_tokens"), F.min("o").alias("first"))
+    long = rows.select(
+        F.col(tokens).alias("t"), F.col(order).alias("o"),
+        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), group_key(F.col(f)).alias("value")) for f in fields])).alias("x")
+    ).select("x.*", "t", "o")
+    got = long.groupBy("field", "value").agg(
+        F.count(F.lit(1)).alias("documents"), F.avg("t").alias("mean_tokens"), F.percentile("t", F.lit(0.95)).alias("p95_tokens"),
+        F.max("t").alias("max_tokens"), F.min("o").alias("first")
+    )
     # the first of each part of a field's groups, then the first of those: no task holds all groups of a field
     part = got.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(PARTS)))
     for keys in (["field", "part"], ["field"]):
-        part = part.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("documents"), "first", "value"))).where(F.col("rank") <= top)
-    return part.select("field", "value", "documents", F.round("mean_tokens", 6).alias("mean_tokens"), F.round("p95_tokens", 6).alias("p95_tokens"), "max_tokens")
-
-
-def chunk_plans(rows: DataFrame, lengths=CONTEXT_LENGTHS, reserved: int = RESERVED, utilization: float = UTILIZATION, overlap: int = OVERLAP, tokens: str = "tokens_without_eos") -> DataFrame:
+        part = part.withColumn(
+            "rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("documents"), "first", "value"))
+        ).where(F.col("rank") <= top)
+    return part.select(
+        "field", "value", "documents", F.round("mean_tokens", 6).alias("mean_tokens"), F.round("p95_tokens", 6).alias("p95_tokens"), "max_tokens"
+    )
+
+
+def chunk_plans(
+    rows: DataFrame, lengths=CONTEXT_LENGTHS, reserved: int = RESERVED, utilization: float = UTILIZATION, overlap: int = OVERLAP,
+    tokens: str = "tokens_without_eos"
+) -> DataFrame:
     """For each context length: texts over target and context, and the chunks they would need.
 
     Equal token counts are put together before they meet the context lengths.  Lengths that leave no room
@@ -76,7 +98,9 @@ def chunk_plans(rows: DataFrame, lengths=CONTEXT_LENGTHS, reserved: int = RESERV
     counts = rows.groupBy(F.col(tokens).alias("t")).agg(F.count(F.lit(1)).alias("n"))
     capacity = F.col("max_seq_length") - reserved
     plans = F.explode(F.array(*[F.lit(x).cast("long") for x in sorted(set(lengths))])).alias("max_seq_length")
-    each = counts.select("t", "n", plans).where(capacity > 0).withColumn("content_capacity_tokens", capacity).withColumn("target_chunk_tokens", K.chunk_target(F.col("content_capacity_tokens"), utilization))
+    each = counts.select("t", "n", plans).where(capacity > 0).withColumn("content_capacity_tokens", capacity).withColumn(
+        "target_chunk_tokens", K.chunk_target(F.col("content_capacity_tokens"), utilization)
+    )
     each = each.withColumn("chunks", K.estimated_chunks(F.col("t"), F.col("target_chunk_tokens"), overlap))
     over = lambda c: F.sum(F.when(F.col("t") > F.col(c), F.col("n")).otherwise(0))
     n = F.sum("n")

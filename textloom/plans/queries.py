@@ -136,11 +136,16 @@ def shared_train_validation(spark, folder):
 def structure_counts(spark, folder):
     text = T.clean_html(F.col("text"))
     rows = texts(spark, folder, "prepared").select("source_index", text.alias("clean"))
-    return rows.select("source_index", T.article_count(F.col("clean")).alias("article_count"), T.chapter_count(F.col("clean")).alias("chapter_count"), T.section_count(F.col("clean")).alias("section_count"))
+    return rows.select(
+        "source_index", T.article_count(F.col("clean")).alias("article_count"), T.chapter_count(F.col("clean")).alias("chapter_count"),
+        T.section_count(F.col("clean")).alias("section_count")
+    )
 
 
 def _cleaned(spark, folder, tree):
-    return texts(spark, folder, "documents").select("doc_id", T.looks_like_html(F.col("text")).alias("is_html"), T.clean_html(F.col("text"), "html", tree).alias("clean"))
+    return texts(spark, folder, "documents").select(
+        "doc_id", T.looks_like_html(F.col("text")).alias("is_html"), T.clean_html(F.col("text"), "html", tree).alias("clean")
+    )
 
 
 def html_clean_regex(spark, folder):
@@ -153,18 +158,29 @@ def html_clean_tree(spark, folder):
 
 def _pages(spark, folder):
     """Each document as a page: a title, a script, and its lines in turn as a paragraph, as a block with a break and as a row of cells."""
-    line = lambda x, i: F.when(i % 3 == 0, F.concat(F.lit('<p class="x">'), x, F.lit("</p>"))).when(i % 3 == 1, F.concat(F.lit("<DIV>"), x, F.lit("<br/>"), x, F.lit("</DIV>"))).otherwise(F.concat(F.lit("<table><tr><td>"), x, F.lit("</td><th>"), i.cast("string"), F.lit("</th></tr></table>")))
+    line = lambda x, i: F.when(i % 3 == 0, F.concat(F.lit('<p class="x">'), x, F.lit("</p>"))).when(
+        i % 3 == 1, F.concat(F.lit("<DIV>"), x, F.lit("<br/>"), x, F.lit("</DIV>"))
+    ).otherwise(F.concat(F.lit("<table><tr><td>"), x, F.lit("</td><th>"), i.cast("string"), F.lit("</th></tr></table>")))
     body = F.array_join(F.transform(F.split("text", "\n"), line), "")
-    page = F.concat(F.lit("<!DOCTYPE html><html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title></head><body><script>if (a<b) {}</script>"), body, F.lit("<style>p {}</style></body></html>"))
+    page = F.concat(
+        F.lit("<!DOCTYPE html><html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title></head><body><script>if (a<b) {}</script>"), body,
+        F.lit("<style>p {}</style></body></html>")
+    )
     return texts(spark, folder, "documents").select("doc_id", page.alias("page"))
 
 
 def html_pages_tree(spark, folder):
-    return _pages(spark, folder).select("doc_id", F.coalesce(T.looks_like_html(F.col("page")), F.lit(False)).alias("is_html"), T.clean_html(F.col("page"), "auto", True).alias("clean"))
+    return _pages(spark, folder).select(
+        "doc_id", F.coalesce(T.looks_like_html(F.col("page")), F.lit(False)).alias("is_html"),
+        T.clean_html(F.col("page"), "auto", True).alias("clean")
+    )
 
 
 def html_pages_regex(spark, folder):
-    return _pages(spark, folder).select("doc_id", F.coalesce(T.looks_like_html(F.col("page")), F.lit(False)).alias("is_html"), T.clean_html(F.col("page"), "auto", False).alias("clean"))
+    return _pages(spark, folder).select(
+        "doc_id", F.coalesce(T.looks_like_html(F.col("page")), F.lit(False)).alias("is_html"),
+        T.clean_html(F.col("page"), "auto", False).alias("clean")
+    )
 
 
 def _pairs(spark, folder):
@@ -192,12 +208,17 @@ def generation_means(spark, folder):
         "length_ratio": F.length("prediction") / F.greatest(F.lit(1), F.length("reference")), "reference_tokens": T.count_words(F.col("reference")), "generated_tokens": T.count_words(F.col("prediction")),
         "ended_with_eos": F.col("prediction").endswith("."), "generation_seconds": F.length("prediction") / F.lit(64.0),
     })
-    out = E.generation_means(rows, [], SCORES, ["length_ratio", "reference_tokens", "generated_tokens", "generation_seconds"], {"ended_with_eos": "eos_rate_percent"}, ["generation_seconds"])
+    out = E.generation_means(
+        rows, [], SCORES, ["length_ratio", "reference_tokens", "generated_tokens", "generation_seconds"], {"ended_with_eos": "eos_rate_percent"},
+        ["generation_seconds"]
+    )
     return out.select("num_generation_documents", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 
 
 def rouge_l_chunked(spark, folder):
-    rows = _pairs(spark, folder).select("doc_id", T.words(T.metric_text(F.col("reference"))).alias("r"), T.words(T.metric_text(F.col("prediction"))).alias("p"))
+    rows = _pairs(spark, folder).select(
+        "doc_id", T.words(T.metric_text(F.col("reference"))).alias("r"), T.words(T.metric_text(F.col("prediction"))).alias("p")
+    )
     return rows.select("doc_id", F.round(chunked_lcs_f1_udf()("r", "p"), 6).alias("rougeL_chunked_f1"))
 
 
@@ -210,7 +231,9 @@ def corpus_bleu(spark, folder):
 
 
 def corpus_chrf(spark, folder):
-    return E.corpus_chrf(E.corpus_overlaps(_pairs(spark, folder), "reference", "prediction", E.CHAR_ORDERS, E.WORD_ORDERS)).select(F.round("chrf_plus_plus", 6).alias("chrf_plus_plus"))
+    return E.corpus_chrf(E.corpus_overlaps(
+        _pairs(spark, folder), "reference", "prediction", E.CHAR_ORDERS, E.WORD_ORDERS
+    )).select(F.round("chrf_plus_plus", 6).alias("chrf_plus_plus"))
 
 
 def score_windows(spark, folder):
@@ -223,7 +246,10 @@ def _records(spark, folder):
     e = table(spark, folder, "events").where("value is not null")
     n = F.pmod("event_id", F.lit(7)) + 1
     hit = lambda k: F.least(n, F.pmod("event_id", F.lit(k)))
-    return e.select("event_id", F.col("event_type").alias("model"), F.datediff("ts", F.lit("1970-01-01")).alias("step"), F.col("value").alias("nll_sum"), n.alias("scored"), hit(3).alias("top1"), hit(5).alias("top5"))
+    return e.select(
+        "event_id", F.col("event_type").alias("model"), F.datediff("ts", F.lit("1970-01-01")).alias("step"), F.col("value").alias("nll_sum"),
+        n.alias("scored"), hit(3).alias("top1"), hit(5).alias("top5")
+    )
 
 
 def lm_metrics(spark, folder):
@@ -235,7 +261,9 @@ def model_comparison(spark, folder):
     rows = keep(E.token_metrics(_records(spark, folder), ["model"]), "lm-metrics")
     of = lambda m: rows.where(F.col("model") == m).drop("model")
     out = E.compare_models(of("view"), of("click"))
-    return out.select("metric", *[F.round(c, 6).alias(c) for c in ("base", "finetuned", "delta_finetuned_minus_base", "improvement")], "higher_is_better")
+    return out.select(
+        "metric", *[F.round(c, 6).alias(c) for c in ("base", "finetuned", "delta_finetuned_minus_base", "improvement")], "higher_is_better"
+    )
 
 
 def progressive_loss(spark, folder):
@@ -246,7 +274,11 @@ def progressive_loss(spark, folder):
 def loss_perplexities(spark, folder):
     """Mean losses of each model as named metrics, with their perplexities."""
     m = _records(spark, folder).groupBy("model").agg((F.sum("nll_sum") / F.sum("scored")).alias("l"), F.max("nll_sum").alias("most"))
-    named = F.array(F.struct(F.concat("model", F.lit("_token_nll")).alias("metric"), F.col("l").alias("value")), F.struct(F.concat("model", F.lit("_worst_loss")).alias("metric"), F.col("most").alias("value")), F.struct(F.concat("model", F.lit("_accuracy")).alias("metric"), F.lit(0.5).alias("value")))
+    named = F.array(
+        F.struct(F.concat("model", F.lit("_token_nll")).alias("metric"), F.col("l").alias("value")),
+        F.struct(F.concat("model", F.lit("_worst_loss")).alias("metric"), F.col("most").alias("value")),
+        F.struct(F.concat("model", F.lit("_accuracy")).alias("metric"), F.lit(0.5).alias("value"))
+    )
     return E.loss_perplexities(m.select(F.explode(named).alias("x")).select("x.*")).select("metric", F.round("value", 4).alias("value"))
 
 
@@ -270,11 +302,16 @@ def pad_and_mask(spark, folder):
     lengths = F.transform(T.words(F.lower("text")), lambda w: F.length(w))
     rows = table(spark, folder, "eval_passages").select(F.col("item_id").alias("id"), "text").unionByName(texts(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"))
     rows = keep(rows.where("text is not null").select("id", K.append_eos(lengths, F.lit(0)).alias("ids")), "token-ids")
-    batch = running_total(rows.select("id", F.size("ids").alias("n")), [], ["id"], F.lit(1), "place").withColumn("batch", F.floor((F.col("place") - 1) / BATCH))
+    batch = running_total(
+        rows.select("id", F.size("ids").alias("n")), [], ["id"], F.lit(1), "place"
+    ).withColumn("batch", F.floor((F.col("place") - 1) / BATCH))
     longest = batch.groupBy("batch").agg(F.max("n").alias("longest"))
     rows = rows.join(batch.select("id", "batch"), "id").join(longest, "batch")
     ids, mask, labels = K.padded(F.col("ids"), 8, F.col("longest"), 0)
-    return rows.select("id", "batch", F.array_join(ids, " ").alias("input_ids"), F.array_join(mask, " ").alias("attention_mask"), F.array_join(labels, " ").alias("labels"))
+    return rows.select(
+        "id", "batch", F.array_join(ids, " ").alias("input_ids"), F.array_join(mask, " ").alias("attention_mask"),
+        F.array_join(labels, " ").alias("labels")
+    )
 
 
 def training_step_plan(spark, folder):
@@ -309,10 +346,18 @@ def data_checks(spark, folder):
         "wrong_length": F.length("text") != F.col("num_chars"), "changed_length": F.length(T.clean_html(F.col("text"))) != F.col("num_chars"),
     }
     return C.together(
-        C.count_where(prepared, rules), C.count_rows("repeated_source_index", C.repeated(prepared, "source_index")), C.count_rows("repeated_stats", C.repeated(given, "document_id")),
-        C.count_rows("documents_without_stats", documents.select(F.col("doc_id").cast("string").alias("document_id")).join(ids, "document_id", "left_anti")),
-        C.count_rows("stats_without_document", ids.join(documents.select(F.col("doc_id").cast("string").alias("document_id")), "document_id", "left_anti")),
-        C.count_rows("outdated_stats", stats.select("document_id", F.col("article_count").alias("a")).join(given, "document_id").where("a <> article_count")),
+        C.count_where(prepared, rules), C.count_rows(
+            "repeated_source_index", C.repeated(prepared, "source_index")
+        ), C.count_rows("repeated_stats", C.repeated(given, "document_id")),
+        C.count_rows(
+            "documents_without_stats", documents.select(F.col("doc_id").cast("string").alias("document_id")).join(ids, "document_id", "left_anti")
+        ),
+        C.count_rows(
+            "stats_without_document", ids.join(documents.select(F.col("doc_id").cast("string").alias("document_id")), "document_id", "left_anti")
+        ),
+        C.count_rows(
+            "outdated_stats", stats.select("document_id", F.col("article_count").alias("a")).join(given, "document_id").where("a <> article_count")
+        ),
         C.count_rows("leaked_train_validation", S.shared_ids(prepared, "train", "validation")),
     )
 
@@ -328,7 +373,9 @@ def _prepared(spark, folder):
 def prepared_documents(spark, folder):
     """The prepared corpus: selected documents, cleaned, with their split."""
     rows = _prepared(spark, folder)[3]
-    return S.seeded_split(rows, "document_id").select("document_id", "chunk_id", "chunk_type", "source_index", "num_chars", "tokens_with_eos", F.md5("text").alias("text_md5"), "split")
+    return S.seeded_split(rows, "document_id").select(
+        "document_id", "chunk_id", "chunk_type", "source_index", "num_chars", "tokens_with_eos", F.md5("text").alias("text_md5"), "split"
+    )
 
 
 def preparation_checks(spark, folder):
@@ -341,7 +388,9 @@ def preparation_manifest(spark, folder):
     _, stats, threshold, rows = _prepared(spark, folder)
     counters = S.selection_counters(S.selection_reasons(stats, threshold, S.MAX_SEQ - S.RESERVED)).withColumn("p95_threshold", F.lit(threshold))
     splits = S.split_summary(S.seeded_split(rows, "document_id"))
-    figures = lambda df, first, names: df.select(F.explode(F.array(*[F.struct(F.concat(first, F.lit(n)).alias("figure"), F.col(n).cast("double").alias("value")) for n in names])).alias("x")).select("x.*")
+    figures = lambda df, first, names: df.select(F.explode(F.array(*[F.struct(
+        F.concat(first, F.lit(n)).alias("figure"), F.col(n).cast("double").alias("value")
+    ) for n in names])).alias("x")).select("x.*")
     return figures(counters, F.lit(""), counters.columns).unionByName(figures(splits, F.concat("split", F.lit(".")), splits.columns[1:]))
 
 
@@ -360,7 +409,9 @@ def _event_stream(spark, folder):
 
 def streaming_metrics(spark, folder):
     sums = M.running_sums(_event_stream(spark, folder).withColumn("scored", F.lit(1)), ["event_type"], "value", "scored")
-    return M.loss(M.drain(sums)).select("event_type", "records", F.round("nll_sum", 4).alias("nll_sum"), "scored", F.round("token_nll", 6).alias("token_nll"))
+    return M.loss(M.drain(sums)).select(
+        "event_type", "records", F.round("nll_sum", 4).alias("nll_sum"), "scored", F.round("token_nll", 6).alias("token_nll")
+    )
 
 
 def streaming_windows(spark, folder):
@@ -386,7 +437,10 @@ def p2_value_report(spark, folder):
     rows = _field_values(spark, folder)
     n = rows.groupBy("source_index", "field_name").agg(F.max("pos").alias("n"))
     rows = rows.join(n, ["source_index", "field_name"])
-    return rows.groupBy("field_name", "item_value").agg(F.count(F.lit(1)).alias("values"), F.count_if(F.col("n") > 1).alias("packed"), F.count_if("quoted").alias("quoted"), F.count("flag").alias("flagged"))
+    return rows.groupBy("field_name", "item_value").agg(
+        F.count(F.lit(1)).alias("values"), F.count_if(F.col("n") > 1).alias("packed"), F.count_if("quoted").alias("quoted"),
+        F.count("flag").alias("flagged")
+    )
 
 
 QUERIES = {

@@ -28,7 +28,10 @@ NAMES = {"num_chars": "characters", "num_lines": "lines", "tokens_with_eos": "to
 LONG_COLUMNS = ("num_chars", "num_lines", "tokens_without_eos", "tokens_with_eos", "article_count", "chapter_count", "section_count")
 
 
-def analyze(content: DataFrame, id_column: str, out: str, metadata: DataFrame | None = None, metadata_id: str = "id", settings: Settings = Settings(), tokenizer=WordTokenizer(), add_eos: bool = True, content_column: str | None = None, tables: str | None = None) -> dict:
+def analyze(
+    content: DataFrame, id_column: str, out: str, metadata: DataFrame | None = None, metadata_id: str = "id", settings: Settings = Settings(),
+    tokenizer=WordTokenizer(), add_eos: bool = True, content_column: str | None = None, tables: str | None = None
+) -> dict:
     """Statistics of each document, and of all of them.
 
     Writes ``document_token_stats`` (Parquet, and CSV with its fields in order) and ``longest_documents`` to ``tables`` (else ``out``),
@@ -63,7 +66,10 @@ def analyze(content: DataFrame, id_column: str, out: str, metadata: DataFrame |
     return summary
 
 
-def prepare(content: DataFrame, id_column: str, analysis: str, out: str, settings: Settings = Settings(), tables: str | None = None, threshold: float | None = None, content_column: str | None = None, limit: int = 0) -> dict:
+def prepare(
+    content: DataFrame, id_column: str, analysis: str, out: str, settings: Settings = Settings(), tables: str | None = None,
+    threshold: float | None = None, content_column: str | None = None, limit: int = 0
+) -> dict:
     """A training corpus in splits, from an analysis of the same content.
 
     Refuses an analysis in another mode or of other content, any violated check, documents in two splits, and an output
@@ -71,7 +77,9 @@ def prepare(content: DataFrame, id_column: str, analysis: str, out: str, setting
     """
     cfg, tables = settings.preparation, tables or analysis
     spark = content.sparkSession
-    _, path = resolve.analysis_paths(analysis, stats=f"{tables}/document_token_stats.parquet", threshold=threshold, exists=lambda p: p.endswith(".parquet") or os.path.exists(p))  # Spark tells if the table is missing
+    _, path = resolve.analysis_paths(
+        analysis, stats=f"{tables}/document_token_stats.parquet", threshold=threshold, exists=lambda p: p.endswith(".parquet") or os.path.exists(p)
+    )  # Spark tells if the table is missing
     summary = resolve.require_markdown(sinks.read_json(path) if path else {})
     text = resolve.content_column(content, content_column)
     p95 = math.ceil(threshold if threshold is not None else summary["tokens_with_eos"]["p95"])
@@ -94,7 +102,9 @@ def prepare(content: DataFrame, id_column: str, analysis: str, out: str, setting
     C.require(leakage.select(F.concat_ws("/", "left_split", "right_split").alias("check_name"), F.col("shared").alias("violations")))
     manifest = sinks.manifest(
         counters, S.split_summary(split), leakage, content_column=text, content_format="markdown", dataset_fingerprint=seen, analysis_settings_key=summary.get("settings_key"), tokenizer=summary.get("tokenizer"),
-        max_seq_length=cfg.max_seq_length, reserved_tokens=cfg.reserved_tokens, p95_threshold=p95, effective_threshold=min(p95, capacity), split_ratios={"train": 1 - cfg.validation - cfg.test, "validation": cfg.validation, "test": cfg.test},
+        max_seq_length=cfg.max_seq_length, reserved_tokens=cfg.reserved_tokens, p95_threshold=p95, effective_threshold=min(p95, capacity), split_ratios={
+            "train": 1 - cfg.validation - cfg.test, "validation": cfg.validation, "test": cfg.test
+        },
     )
     sinks.write_splits(split, out)
     sinks.write_json(f"{out}.manifest.json", manifest)
@@ -113,7 +123,10 @@ def evaluate(records: DataFrame, out: str, base: str, tuned: str, model: str = "
         row = E.token_metrics(rows, []).drop("num_documents")
         if {"prediction", "reference"} <= set(records.columns):
             scored = keep(E.continuation_metrics(rows, "reference", "prediction"), "continuations")
-            means = E.generation_means(scored, [], list(E.SCORES), [c for c in E.LENGTHS if c in records.columns], {"ended_with_eos": "eos_rate_percent"} if "ended_with_eos" in records.columns else None)
+            means = E.generation_means(
+                scored, [], list(E.SCORES), [c for c in E.LENGTHS if c in records.columns],
+                {"ended_with_eos": "eos_rate_percent"} if "ended_with_eos" in records.columns else None
+            )
             bleu = E.corpus_bleu(E.corpus_overlaps(rows, "reference", "prediction", 0, 4))
             chrf = E.corpus_chrf(E.corpus_overlaps(rows, "reference", "prediction", E.CHAR_ORDERS, E.WORD_ORDERS))
             for more in (means, bleu, chrf):

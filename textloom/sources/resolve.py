@@ -49,7 +49,9 @@ def require_splits(df: DataFrame, names: Iterable[str], columns: Iterable[str] =
     return df
 
 
-def analysis_paths(folder: str, stats: str | None = None, summary: str | None = None, threshold: float | None = None, exists: Callable[[str], bool] = os.path.exists) -> tuple[str, str | None]:
+def analysis_paths(
+    folder: str, stats: str | None = None, summary: str | None = None, threshold: float | None = None, exists: Callable[[str], bool] = os.path.exists
+) -> tuple[str, str | None]:
     """Where the statistics and the summary of an analysis are; the summary may be missing where the threshold is given."""
     stats, summary = stats or f"{folder}/document_token_stats.csv", summary or f"{folder}/summary.json"
     if not exists(stats):

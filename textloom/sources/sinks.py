@@ -65,7 +65,10 @@ def one_row(df: DataFrame) -> dict:
 
 def manifest(selection: DataFrame, summaries: DataFrame, leakage: DataFrame, **settings) -> dict:
     """What a prepared corpus was made of: settings, counters, split figures, shared documents."""
-    return {**settings, "selection": one_row(selection), "splits": {r["split"]: r.asDict() for r in summaries.collect()}, "leakage": {f"{r['left_split']}/{r['right_split']}": r["shared"] for r in leakage.collect()}}
+    return {
+        **settings, "selection": one_row(selection), "splits": {r["split"]: r.asDict() for r in summaries.collect()},
+        "leakage": {f"{r['left_split']}/{r['right_split']}": r["shared"] for r in leakage.collect()}
+    }
 
 
 def read_json(path: str) -> dict:
@@ -87,16 +90,45 @@ def analysis_report(summary: dict, plans: list[dict], recommended: dict | None,
     tokens, chars, articles = (summary[k] for k in ("tokens_with_eos", "characters", "articles"))
     percentiles = " / ".join(f"{tokens[p]:,.2f}" for p in ("p90", "p95", "p99"))
     lines = ["# Corpus analysis"]
-    lines += _listing("Data", {"content rows": summary["content_rows"], "metadata rows": summary["metadata_rows"], "content column": summary["content_column"], "tokenizer": summary["tokenizer"], "end mark counted": summary["add_eos"]})
-    lines += _listing("Tokens", {"total": tokens["sum"], "mean of a document": tokens["mean"], "median": tokens["median"], "p90 / p95 / p99": percentiles, "most": tokens["max"]})
-    lines += _listing("Structure", {"mean characters": chars["mean"], "mean articles": articles["mean"], "p95 articles": articles["p95"], "most articles": articles["max"]})
+    lines += _listing(
+        "Data",
+        {
+            "content rows": summary["content_rows"], "metadata rows": summary["metadata_rows"], "content column": summary["content_column"],
+            "tokenizer": summary["tokenizer"], "end mark counted": summary["add_eos"]
+        }
+    )
+    lines += _listing(
+        "Tokens",
+        {
+            "total": tokens["sum"], "mean of a document": tokens["mean"], "median": tokens["median"], "p90 / p95 / p99": percentiles,
+            "most": tokens["max"]
+        }
+    )
+    lines += _listing(
+        "Structure",
+        {"mean characters": chars["mean"], "mean articles": articles["mean"], "p95 articles": articles["p95"], "most articles": articles["max"]}
+    )
     over = lambda p, what: f"{p[f'documents_over_{what}']:,} ({p[f'documents_over_{what}_percent']:.2f} %)"
-    rows = [[p["max_seq_length"], p["target_chunk_tokens"], over(p, "context"), over(p, "target"), p["estimated_chunks"], f"{p['estimated_mean_chunks_per_doc']:.2f}", p["estimated_max_chunks_for_one_doc"]] for p in plans]
-    lines += ["", "## Context lengths", "", *_table(["context", "target", "over context", "over target", "chunks", "mean chunks", "most chunks"], rows)]
+    rows = [[
+        p["max_seq_length"], p["target_chunk_tokens"], over(p, "context"), over(p, "target"), p["estimated_chunks"],
+        f"{p['estimated_mean_chunks_per_doc']:.2f}", p["estimated_max_chunks_for_one_doc"]
+    ] for p in plans]
+    lines += [
+        "", "## Context lengths", "", *_table(["context", "target", "over context", "over target", "chunks", "mean chunks", "most chunks"], rows)
+    ]
     if recommended:
-        lines += _listing("Recommendation", {"context": recommended["max_seq_length"], "target": recommended["target_chunk_tokens"], "reserved": summary["reserved_tokens"], "chunks": recommended["estimated_chunks"]})
+        lines += _listing(
+            "Recommendation",
+            {
+                "context": recommended["max_seq_length"], "target": recommended["target_chunk_tokens"], "reserved": summary["reserved_tokens"],
+                "chunks": recommended["estimated_chunks"]
+            }
+        )
     cell = lambda v, n=120: str(v or "").replace("|", "\\|")[:n]
-    rows = [[i, cell(r["document_id"]), r["tokens_with_eos"], r["num_chars"], r["article_count"], cell(r.get("title"))] for i, r in enumerate(longest[:top], 1)]
+    rows = [
+        [i, cell(r["document_id"]), r["tokens_with_eos"], r["num_chars"], r["article_count"], cell(r.get("title"))] for i,
+        r in enumerate(longest[:top], 1)
+    ]
     lines += ["", "## Longest documents", "", *_table(["rank", "document", "tokens", "characters", "articles", "title"], rows)]
     return "\n".join(lines) + "\n"
 
@@ -104,7 +136,10 @@ def analysis_report(summary: dict, plans: list[dict], recommended: dict | None,
 def comparison_report(comparison: DataFrame, base: str = "base", tuned: str = "finetuned", data: str = "", documents: int | None = None) -> str:
     """Markdown of two models' metrics: what was compared on what, the preferred metrics in order, and how to read them."""
     got = {r["metric"]: r for r in comparison.collect()}  # a row for each metric
-    lines = ["# Comparison", "", f"- base: {base}", f"- finetuned: {tuned}", *([f"- data: {data}"] if data else []), *([f"- documents, the same for both: {documents:,}"] if documents is not None else []), ""]
+    lines = [
+        "# Comparison", "", f"- base: {base}", f"- finetuned: {tuned}", *([f"- data: {data}"] if data else []),
+        *([f"- documents, the same for both: {documents:,}"] if documents is not None else []), ""
+    ]
     rows = [[m, *(f"{got[m][c]:.6f}" for c in ("base", "finetuned", "delta_finetuned_minus_base", "improvement"))] for m in PREFERRED if m in got]
     lines += _table(["metric", "base", "finetuned", "delta", "improvement"], rows)
     lower = [m for m in PREFERRED if m in got and not got[m]["higher_is_better"]]
