@@ -1,6 +1,7 @@
 import random
 import re
 import unicodedata
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from oracle import FOLDER, compare
 from pyspark.sql import functions as F
 
 from textloom.llm import difficulty, fold, language, leaks, mixing, overlap, packing, pieces, queries, splits, tokens
+from textloom.sources.tables import forget
 
 rng = random.Random(7)
 VOCABULARY = [f"tu{i}" for i in range(400)]
@@ -96,6 +98,63 @@ def test_overlap_of_a_large_family(spark):
     assert len(want) > 50_000 and got <= want and len(got) > 0.97 * len(want)
 
 
+def test_overlap_in_groups_of_texts(spark):
+    rows = []
+    for k in range(60):
+        base = phrase(rng.choice([45, 45, 80, 200]))
+        rows += [(2 * k, " ".join(base), "train"), (2 * k + 1, " ".join(changed(base, rng.choice([0.0, 0.05, 0.1, 0.9]))), rng.choice(["test", "train"]))]
+    rows += [(200 + i, rows[i % 4][1], "test" if i % 3 else "train") for i in range(40)]
+    want = brute_pairs(rows)
+    assert set(found(spark, rows)) == want
+    assert set(found(spark, rows, group_prints=200)) == want
+
+
+def test_groups_hold_every_text_once():
+    sizes = [(n, rng.randrange(1, 90)) for n in sorted(rng.sample(range(40, 400), 60))] + [(500, 1000)]
+    groups = list(overlap._groups(sizes, 100))
+    for n, _ in sizes:
+        (part,) = {g[:2] for g in groups if g[0] <= n <= g[1]}
+        own = [g for g in groups if g[:2] == part]
+        assert [g[2] for g in own] == list(range(own[0][3]))
+        total = sum(m for x, m in sizes if part[0] <= x <= part[1])
+        assert total <= 100 * own[0][3]
+    assert list(overlap._groups([], 100)) == []
+
+
+def test_overlap_of_few_broadcast_copies(spark, monkeypatch):
+    base = [phrase(60) for _ in range(12)]
+    rows = [(i, " ".join(base[i % 12]), "test" if i % 5 == 0 else "train") for i in range(120)]
+    want = brute_pairs(rows)
+    assert set(found(spark, rows)) == want
+    monkeypatch.setattr(overlap, "MOST_COPIES", 3)  # the other classes' copies are looked up as well
+    monkeypatch.setattr(overlap, "MOST_NEEDED", 1)
+    monkeypatch.setattr(overlap, "SEEDS_AT_ONCE", 50)
+    got = found(spark, rows)
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("copies", [1, 8])
+def test_overlap_takes_little_disk(spark, tmp_path, copies):
+    stock, rows = phrase(400), []
+    for i in range(3000 // copies):  # texts of common passages and words of their own
+        words = [w for _ in range(15) for a in [rng.randrange(380)] for w in [*stock[a : a + 12], *phrase(8)]]
+        rows += [(i * copies + c, " ".join(words), "train" if i % 4 else "test") for c in range(copies)]
+    spark.createDataFrame(rows, "source_index long, text string, split string").repartition(4).write.parquet(f"{tmp_path}/prepared.parquet")
+    size = lambda path: sum(p.stat().st_size for p in Path(path).rglob("*.parquet"))
+
+    def shuffled():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty(30_000)
+        executors = context.statusStore().executorList(True)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    forget(spark)
+    before = shuffled()
+    queries.p1_found(spark, str(tmp_path)).count()
+    kept = sum(size(path.removeprefix("file://")) for path in spark._textloom_kept)
+    assert kept + shuffled() - before < 2.5 * size(tmp_path)
+
+
 def test_overlap_of_nothing(spark):
     assert found(spark, []) == [] and found(spark, [(1, None, None)]) == []
 

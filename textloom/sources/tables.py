@@ -39,14 +39,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
+def keep(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: it is computed once and its lineage ends here.
 
-    Unlike cached blocks the files survive the loss of executors.
+    Unlike cached blocks the files survive the loss of executors.  ``options`` are those of the Parquet writer.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/textloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     spark._textloom_kept = [*getattr(spark, "_textloom_kept", []), path]
     return spark.read.schema(df.schema).parquet(path)
 
